@@ -27,5 +27,32 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliolith.llm.toxicity import toxic_documents, trained
+
+    documents = table(spark, sf_dir, "documents")
+    return toxic_documents(documents, trained(documents, table(spark, sf_dir, "labels")))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliolith.llm.toxicity import toxicity, trained
+
+    documents = table(spark, sf_dir, "documents")
+    return toxicity(documents, trained(documents, table(spark, sf_dir, "labels")))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliolith.llm.toxicity import source_rates, trained
+
+    documents = table(spark, sf_dir, "documents")
+    return source_rates(documents, trained(documents, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
+}
 ORACLE: dict[str, str] = {}
