@@ -15,6 +15,46 @@ def tokenizer_path(name: str) -> str:
     return os.path.join(os.environ.get("FOLIOLITH_TOKENIZERS", "/opt/tokenizers"), name)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliolith.llm.alike import alike_pairs
+
+    captions = alike_pairs(table(spark, sf_dir, "figure_captions"), "caption", ["manual", "figure_id"], "caption_id", "caption")
+    return captions.unionByName(alike_pairs(table(spark, sf_dir, "text_observations"), "raw_text", ["source_id"], "obs_id", "raw_text"))
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliolith.llm.alike import forms
+
+    captions = forms(table(spark, sf_dir, "figure_captions"), "caption", "caption_id", "caption")
+    return captions.unionByName(forms(table(spark, sf_dir, "text_observations"), "raw_text", "obs_id", "raw_text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliolith.llm.packing import oversize, review_batches
+
+    return oversize(review_batches(table(spark, sf_dir, "plan_luna_batches")))
+
+
+def p5_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliolith.llm.packing import review_batches
+
+    return review_batches(table(spark, sf_dir, "plan_luna_batches"))
+
+
+def p5_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliolith.llm.packing import certificates, review_batches
+    from foliolith.runtime import cut
+
+    return certificates(cut(review_batches(table(spark, sf_dir, "plan_luna_batches"))))
+
+
+P5_FOUND_SQL = """
+WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY base_revision DESC NULLS LAST, queued_at DESC NULLS LAST, queue_id DESC) AS rn
+FROM plan_luna_batches WHERE candidate_id IS NOT NULL)
+SELECT candidate_id FROM ranked WHERE rn = 1 AND (weight > 9 OR cell_count > 500 OR len(source_physical_pages) > 20)
+"""
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliolith.llm.tokenize import Encoder, token_ids
 
@@ -49,10 +89,15 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_forms": p2_forms,
+    "p5_found": p5_found,
+    "p5_batches": p5_batches,
+    "p5_certificates": p5_certificates,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"p5_found": P5_FOUND_SQL}
