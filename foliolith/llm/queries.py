@@ -15,6 +15,18 @@ def tokenizer_path(name: str) -> str:
     return os.path.join(os.environ.get("FOLIOLITH_TOKENIZERS", "/opt/tokenizers"), name)
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliolith.llm.markup import markup_kinds
+
+    return markup_kinds(table(spark, sf_dir, "ocr_blocks"))
+
+
+def p1_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliolith.llm.markup import clean_texts
+
+    return clean_texts(table(spark, sf_dir, "ocr_blocks"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliolith.llm.alike import alike_pairs
 
@@ -89,6 +101,8 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_text": p1_text,
     "p2_found": p2_found,
     "p2_forms": p2_forms,
     "p5_found": p5_found,
