@@ -123,25 +123,18 @@ def inside(x: Column, y: Column, box: str) -> Column:
 
 
 def mutual_centers(left: DataFrame, right: DataFrame, group: str, left_id: str, right_id: str, left_box: str, right_box: str, tile: float = 64.0) -> DataFrame:
-    """Pairs (group, left_id, right_id) of boxes of which either holds the other's center.
+    """Pairs (group, left_id, right_id) of boxes that hold each other's center.
 
-    Boxes are listed in the tiles they touch; the pair is met in the tile of the center that is held, so the join is on
-    (group, tile) and dense groups split over their tiles.
+    The left box's center lies in one tile, the right box is listed in those it touches: the join is on (group, tile), so
+    no pair repeats and dense groups split over their tiles. Null and reversed boxes match nothing.
     """
-    def tiles(df: DataFrame, box: str) -> DataFrame:
-        xs = bucket_range(F.col(f"{box}.x0"), F.col(f"{box}.x1"), tile)
-        ys = bucket_range(F.col(f"{box}.y0"), F.col(f"{box}.y1"), tile)
-        good = df.where((F.col(f"{box}.x0") <= F.col(f"{box}.x1")) & (F.col(f"{box}.y0") <= F.col(f"{box}.y1")))
-        return good.withColumn("_tx", F.explode(xs)).withColumn("_ty", F.explode(ys))
-
-    def points(df: DataFrame, box: str) -> DataFrame:
-        x, y = center(box)
-        return df.withColumn("_tx", F.floor(x / tile)).withColumn("_ty", F.floor(y / tile))
-
-    a, b = left.select(group, left_id, F.col(left_box).alias("_a")), right.select(group, right_id, F.col(right_box).alias("_b"))
-    held_a = points(a, "_a").join(tiles(b, "_b"), [group, "_tx", "_ty"]).where(inside(*center("_a"), "_b"))
-    held_b = tiles(a, "_a").join(points(b, "_b"), [group, "_tx", "_ty"]).where(inside(*center("_b"), "_a"))
-    return held_a.select(group, left_id, right_id).unionByName(held_b.select(group, left_id, right_id)).distinct()
+    x, y = center("_a")
+    points = left.select(group, left_id, F.col(left_box).alias("_a")).withColumn("_tx", F.floor(x / tile)).withColumn("_ty", F.floor(y / tile))
+    boxes = right.select(group, right_id, F.col(right_box).alias("_b")).where("_b.x0 <= _b.x1 and _b.y0 <= _b.y1")
+    for t, lo, hi in (("_tx", "x0", "x1"), ("_ty", "y0", "y1")):
+        boxes = boxes.withColumn(t, F.explode(bucket_range(F.col(f"_b.{lo}"), F.col(f"_b.{hi}"), tile)))
+    pairs = points.join(boxes, [group, "_tx", "_ty"]).where(inside(*center("_a"), "_b") & inside(*center("_b"), "_a"))
+    return pairs.select(group, left_id, right_id)
 
 
 def connected(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:

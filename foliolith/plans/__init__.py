@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register core queries.
-MODULES = ("nested", "compare", "scalars", "matching", "outline", "edits")
+MODULES = ("nested", "compare", "scalars", "matching", "outline", "edits", "figures", "io")
 
 
 def load_core() -> tuple[dict, dict]:

@@ -9,8 +9,8 @@ from foliolith.operators import patches as P
 from foliolith.plans.catalog import query
 from foliolith.runtime import table
 
-_CELLS = """SELECT l_orderkey AS grid_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS INT) AS row, c AS "column",
-CASE WHEN c = 1 THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS text FROM lineitem, (VALUES (1), (2)) v(c)"""
+_CELLS = """SELECT l_orderkey AS grid_id, row, c AS "column", CASE WHEN c = 1 THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS text
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS INT) AS row FROM lineitem), (VALUES (1), (2)) v(c)"""
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
