@@ -99,8 +99,9 @@ def one_form(text: str | None) -> str | None:
         return None
     if not text.isascii():
         own = any(ord(c) not in _TWIN for c in _OWN_SCRIPT.findall(text) if c.isalpha() and c not in "μαβγδεηθλνπρστφχψωΔΩΣΦ")
-        text = unicodedata.normalize("NFKC", text.translate(_PLAIN if own else _TWINNED))
-        text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text.casefold()).translate(_PLAIN))
+        table = _PLAIN if own else _TWINNED
+        text = unicodedata.normalize("NFKC", text.translate(table))
+        text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text.casefold()).translate(table))
         return " ".join(text.split(" ")).strip(" ")
     return text.translate(_PLAIN).casefold().strip(" ")
 

@@ -69,7 +69,8 @@ _L_SPACE = re.compile(r"(?<=\w)\\[,;!](?=\w)|(?<=\d)~(?=\w)")
 
 _M_HEAD = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S.*?)[ \t]*#*$", re.M)
 _M_SETEXT = re.compile(r"^(?=\S)([^\n|]+)\n(=+|-{3,})[ \t]*$", re.M)
-_M_RULE = re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$|^[ \t]*\|[ \t]*:?-{2,}:?[ \t]*\|[ \t]*$", re.M)
+_RULE = r"[ \t]*(?:-{2,}:?|:-+:?|-+:)[ \t]*"
+_M_RULE = re.compile(rf"^[ \t]*\|?{_RULE}(?:\|{_RULE})+\|?[ \t]*$|^[ \t]*\|{_RULE}\|[ \t]*$", re.M)
 _M_IMAGE = re.compile(r"!\[([^\]\n]*)\]\(([^()\s]*)[^()\n]*\)")
 _M_LINK = re.compile(r"(?<!!)\[([^\]\n]+)\]\(([^()\s]+)[^()\n]*\)")
 _M_STRONG = re.compile(r"(?<![\w*])\*\*(?=[^\s*])([^\n]*?[^\s*])\*\*(?![\w*])|(?<![\w_])__(?=[^\s_])([^\n]*?[^\s_])__(?![\w_])")
