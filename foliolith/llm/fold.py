@@ -98,7 +98,7 @@ def one_form(text: str | None) -> str | None:
     if text is None:
         return None
     if not text.isascii():
-        own = any(ord(c) not in _TWIN for c in _OWN_SCRIPT.findall(text) if c.isalpha() and c not in "μαβγδεηθλνπρστφχψωΔΩΣΦ")
+        own = any(ord(c) not in _TWIN and ord(c.casefold()[0]) not in _TWIN for c in _OWN_SCRIPT.findall(text) if c.isalpha() and c not in "μαβγδεηθλνπρστφχψωΔΩΣΦ")
         table = _PLAIN if own else _TWINNED
         text = unicodedata.normalize("NFKC", text.translate(table))
         text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text.casefold()).translate(table))
