@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliolith.runtime import let
+
 _SIGNED = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
 
 
@@ -17,26 +19,35 @@ def numeric_value(label: Column) -> Column:
     """Number of a normalised label: plain, with an exponent, in groups of thousands, or [c ×] 10^n; a trailing percent
     sign keeps displayed units. Anything else, and what is not finite, is null.
     """
-    bare = F.regexp_replace(F.replace(label, F.lit(" "), F.lit("")), "%$", "")
-    bare = F.when(bare.rlike(r"^[+-]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?$"), F.replace(bare, F.lit(","), F.lit(""))).otherwise(bare)
     power = rf"^(?:({_SIGNED})[×x*])?10\^([+-]?[0-9]+)$"
-    coefficient = F.coalesce(F.regexp_extract(bare, power, 1).try_cast("double"), F.lit(1.0))
-    raised = coefficient * F.pow(F.lit(10.0), F.regexp_extract(bare, power, 2).try_cast("double"))
-    return finite(F.when(bare.rlike(rf"^{_SIGNED}(?:[eE][+-]?[0-9]+)?$"), bare.try_cast("double")).when(bare.rlike(power), raised))
+
+    def of_bare(bare: Column) -> Column:
+        coefficient = F.coalesce(F.regexp_extract(bare, power, 1).try_cast("double"), F.lit(1.0))
+        raised = coefficient * F.pow(F.lit(10.0), F.regexp_extract(bare, power, 2).try_cast("double"))
+        return F.when(bare.rlike(rf"^{_SIGNED}(?:[eE][+-]?[0-9]+)?$"), bare.try_cast("double")).when(bare.rlike(power), raised)
+
+    def grouped(bare: Column) -> Column:
+        return F.when(bare.rlike(r"^[+-]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?$"), F.replace(bare, F.lit(","), F.lit(""))).otherwise(bare)
+
+    bare = let(F.regexp_replace(F.replace(label, F.lit(" "), F.lit("")), "%$", ""), grouped)
+    return let(let(bare, of_bare), finite)
 
 
 def sheet_value(text: Column) -> Column:
     """struct<type, long, double, string>: how a cell text is typed in a spreadsheet. No leading zeros, a float needs a
     dot, other texts stay texts; integers beyond 64 bits stay texts too.
     """
-    whole = text.rlike(r"^[+-]?(?:0|[1-9][0-9]*)$") & text.try_cast("bigint").isNotNull()
-    real = text.rlike(r"^[+-]?(?:0|[1-9][0-9]*)\.[0-9]+(?:[eE][+-]?[0-9]+)?$") & finite(text.try_cast("double")).isNotNull()
-    kind = F.when(whole, "int").when(real, "float").otherwise("text")
-    return F.struct(
-        kind.alias("type"),
-        F.when(whole, text.try_cast("bigint")).alias("long"),
-        F.when(real, text.try_cast("double")).alias("double"),
-        F.when(~whole & ~real, text).alias("string"),
+    whole = text.rlike(r"^[+-]?(?:0|[1-9][0-9]*)$")
+    real = text.rlike(r"^[+-]?(?:0|[1-9][0-9]*)\.[0-9]+(?:[eE][+-]?[0-9]+)?$")
+    read = F.struct(text.alias("t"), F.when(whole, text.try_cast("bigint")).alias("n"), F.when(real, text.try_cast("double")).alias("d"))
+    return let(
+        read,
+        lambda r: F.struct(
+            F.when(r["n"].isNotNull(), "int").when(finite(r["d"]).isNotNull(), "float").otherwise("text").alias("type"),
+            r["n"].alias("long"),
+            finite(r["d"]).alias("double"),
+            F.when(r["n"].isNull() & finite(r["d"]).isNull(), r["t"]).alias("string"),
+        ),
     )
 
 
@@ -53,13 +64,18 @@ def cell_position(cell: Column) -> Column:
 
 def column_letters(number: Column) -> Column:
     """Spreadsheet letters of a column number (bijective base 26; up to 18,278 = ZZZ)."""
-    n = number.cast("bigint")
-    one = F.pmod(n - 1, F.lit(26))
-    two = F.floor((n - 1) / 26)
-    second = F.pmod(two - 1, F.lit(26))
-    three = F.floor((two - 1) / 26)
     letter = lambda x: F.chr((x + 65).cast("bigint"))
-    return F.concat(F.when(two > 26, letter(three - 1)).otherwise(""), F.when(two > 0, letter(second)).otherwise(""), letter(one))
+    return let(
+        number.cast("bigint") - 1,
+        lambda n: let(
+            F.floor(n / 26),
+            lambda two: F.concat(
+                F.when(two > 26, letter(F.floor((two - 1) / 26) - 1)).otherwise(""),
+                F.when(two > 0, letter(F.pmod(two - 1, F.lit(26)))).otherwise(""),
+                letter(F.pmod(n, F.lit(26))),
+            ),
+        ),
+    )
 
 
 def column_number(letters: Column) -> Column:
@@ -75,9 +91,17 @@ def sheet_range(row: Column, column: Column, rowspan: Column, colspan: Column) -
 def parsed_range(text: Column) -> Column:
     """struct<row, column, rowspan, colspan> of a range; null if it is none or runs backwards."""
     pattern = r"^([A-Z]{1,3})([1-9][0-9]{0,8}):([A-Z]{1,3})([1-9][0-9]{0,8})$"
-    c1, c2 = (column_number(F.regexp_extract(text, pattern, i)) for i in (1, 3))
-    r1, r2 = (F.regexp_extract(text, pattern, i).try_cast("bigint") for i in (2, 4))
-    return F.when(text.rlike(pattern) & (c2 >= c1) & (r2 >= r1), F.struct(r1.alias("row"), c1.alias("column"), (r2 - r1 + 1).alias("rowspan"), (c2 - c1 + 1).alias("colspan")))
+
+    def of_text(t: Column) -> Column:
+        c1, c2 = (column_number(F.regexp_extract(t, pattern, i)) for i in (1, 3))
+        r1, r2 = (F.regexp_extract(t, pattern, i).try_cast("bigint") for i in (2, 4))
+        return F.when(t.rlike(pattern), let(F.struct(r1.alias("r1"), r2.alias("r2"), c1.alias("c1"), c2.alias("c2")), of_corners))
+
+    def of_corners(k: Column) -> Column:
+        box = F.struct(k["r1"].alias("row"), k["c1"].alias("column"), (k["r2"] - k["r1"] + 1).alias("rowspan"), (k["c2"] - k["c1"] + 1).alias("colspan"))
+        return F.when((k["c2"] >= k["c1"]) & (k["r2"] >= k["r1"]), box)
+
+    return let(text, of_text)
 
 
 def axis_coordinate(value: Column, scale: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliolith.runtime import WHITE
+from foliolith.runtime import WHITE, let
 
 _ANY_WHITE = f"[{WHITE}]+"
 
@@ -81,9 +81,12 @@ def safe_segment(raw: Column, most: int = 100) -> Column:
     nothing is left; a longer one is cut and ends in two underscores and eight hex digits of the raw text's SHA-1.
     """
     plain = F.btrim(F.regexp_replace(F.regexp_replace(raw, '[\\\\/:*?"<>|]', " - "), _ANY_WHITE, " "), F.lit(" ."))
-    named = F.when(plain == "", F.lit("untitled")).otherwise(plain)
-    short = F.concat(F.regexp_replace(F.substring(named, F.lit(1), F.lit(most - 10)), _ANY_WHITE + "$", ""), F.lit("__"), F.substring(F.sha1(raw), 1, 8))
-    return F.when(F.length(named) <= most, named).otherwise(short)
+
+    def of_plain(p: Column) -> Column:
+        short = F.concat(F.regexp_replace(F.substring(p, F.lit(1), F.lit(most - 10)), _ANY_WHITE + "$", ""), F.lit("__"), F.substring(F.sha1(raw), 1, 8))
+        return F.when(p == "", F.lit("untitled")).when(F.length(p) <= most, p).otherwise(short)
+
+    return let(plain, of_plain)
 
 
 def yaml_quoted(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +75,11 @@ def pieces(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
 WHITE = "\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     """`text` without surrounding white space of any kind."""
     return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
