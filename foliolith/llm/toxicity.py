@@ -26,7 +26,9 @@ from foliolith.llm.fold import reader_text
 SAMPLE = 2_500
 #: Least cosine of a neighbour, power of the cosine in its vote, least excess of log odds of a toxic example,
 #: trust in a benign label on such a passage.
-NEAR, SHARP, EXCESS, DOUBT = 0.4, 4, 1.2, 0.25
+NEAR, SHARP, EXCESS, DOUBT = 0.4, 4, 1.2, 0.1
+#: Log odds from which a word of a toxic example counts.
+MARKING = 0.5
 #: Calibrated score from which a document is a case.
 CASE = 0.5
 #: Signs that stand for letters. Fixed values.
@@ -154,7 +156,11 @@ class Model:
         raw, best = np.zeros(n), np.full(n, -1)
         if self.index is None or not len(owner):
             return raw, best
-        query, item, cosine = self.index.search(owner, term, weight, n, NEAR)
+        return self.tally(*self.index.search(owner, term, weight, n, NEAR), n)
+
+    def tally(self, query: np.ndarray, item: np.ndarray, cosine: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Raw scores and nearest toxic examples from neighbours."""
+        raw, best = np.zeros(n), np.full(n, -1)
         if not len(query):
             return raw, best
         cosine = np.minimum(cosine, 1.0).astype(np.float64)
@@ -166,7 +172,7 @@ class Model:
         nearest = np.zeros(n)
         nearest[query[last]] = cosine[last]
         best[query[last]] = item[last]
-        raw = np.where(total > 0, toxic / np.maximum(total, 1e-9), 0) * (0.5 + 0.5 * nearest)
+        raw = np.where(total > 0, toxic / np.maximum(total, 1e-9), 0) * nearest
         return raw, best
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
@@ -259,21 +265,31 @@ def fit(sample: Sample, frequency: dict[str, int], n_documents: int) -> Model:
     for flat in flats:
         spans.extend(x.strip() for x in _BREAK.split(flat))
 
+    is_seed = np.isin(np.arange(n), seeds)
+    chosen_heads: list[int] = []
+
     def build(chosen: np.ndarray) -> BlockMaxIndex:
         order = np.array(sorted(chosen.tolist(), key=lambda i: spans[i]))
         place = np.full(n, -1)
         place[order] = np.arange(len(order))
-        mine = place[owner] >= 0
+        # A toxic example is the words that set toxic documents apart, not what else its passage says.
+        mine = (place[owner] >= 0) & (~is_seed[owner] | (odds[term] > MARKING))
+        size = np.sqrt(np.bincount(owner[mine], weight[mine].astype(np.float64) ** 2, n))
         model.toxic_share, model.weight = share[order], np.sqrt(count[order])
         model.examples = [spans[i] for i in order]
-        return BlockMaxIndex(term[mine], place[owner][mine], weight[mine], len(names), len(order))
+        chosen_heads[:] = order.tolist()
+        return BlockMaxIndex(term[mine], place[owner][mine], weight[mine] / size[owner[mine]], len(names), len(order))
 
     model.index = build(seeds)
     benign = (labels <= 0.5) & (head == np.arange(n))
     mine = benign[owner]
     near = np.unique(model.index.search(owner[mine], term[mine], weight[mine], n, NEAR)[0])
     model.index = build(np.union1d(seeds, near))
-    raw, _ = model.votes(owner, term, weight, n)
+    # Calibrated on the sample without each document's own examples, as a new document has none.
+    query, item, cosine = model.index.search(owner, term, weight, n, NEAR)
+    at = np.array(chosen_heads)[item]
+    apart = (np.bincount(head, minlength=n)[at] > 1) | (of[at] != of[query])
+    raw, _ = model.tally(query[apart], item[apart], cosine[apart], n)
     worst = np.zeros(len(sample.label))
     np.maximum.at(worst, of, raw)
     model.steps = _isotonic(worst, sample.label)
