@@ -27,8 +27,8 @@ SAMPLE = 2_500
 #: Least cosine of a neighbour, power of the cosine in its vote, least excess of log odds of a toxic example,
 #: trust in a benign label on such a passage.
 NEAR, SHARP, EXCESS, DOUBT = 0.4, 4, 1.2, 0.1
-#: Log odds from which a word of a toxic example counts.
-MARKING = 0.5
+#: Log odds from which a word of a toxic example counts; words that a passage shares with a neighbour at least.
+MARKING, SHARED = 0.5, 2
 #: Calibrated score from which a document is a case.
 CASE = 0.5
 #: Signs that stand for letters. Fixed values.
@@ -107,6 +107,7 @@ class Model:
         self.index: BlockMaxIndex | None = None
         self.toxic_share = self.weight = np.zeros(0)
         self.examples: list[str] = []
+        self.words: list[frozenset[int]] = []
         self.steps = (np.zeros(0), np.zeros(0))
         self.ids: _Ids | None = None
 
@@ -156,7 +157,16 @@ class Model:
         raw, best = np.zeros(n), np.full(n, -1)
         if self.index is None or not len(owner):
             return raw, best
-        return self.tally(*self.index.search(owner, term, weight, n, NEAR), n)
+        return self.tally(*self.neighbours(owner, term, weight, n), n)
+
+    def neighbours(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All (passage, example, cosine) at NEAR or more that share SHARED words, or the example's only one."""
+        query, item, cosine = self.index.search(owner, term, weight, n, NEAR)
+        begins = np.searchsorted(owner, np.unique(query))
+        ends = np.searchsorted(owner, np.unique(query), "right")
+        own = {q: frozenset(term[a:b].tolist()) for q, a, b in zip(np.unique(query).tolist(), begins, ends, strict=True)}
+        keep = np.array([len(own[q] & self.words[i]) >= min(SHARED, len(self.words[i])) for q, i in zip(query.tolist(), item.tolist(), strict=True)], bool)
+        return query[keep], item[keep], cosine[keep]
 
     def tally(self, query: np.ndarray, item: np.ndarray, cosine: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Raw scores and nearest toxic examples from neighbours."""
@@ -278,6 +288,10 @@ def fit(sample: Sample, frequency: dict[str, int], n_documents: int) -> Model:
         model.toxic_share, model.weight = share[order], np.sqrt(count[order])
         model.examples = [spans[i] for i in order]
         chosen_heads[:] = order.tolist()
+        sets: list[set[int]] = [set() for _ in order]
+        for i, t in zip(place[owner][mine].tolist(), term[mine].tolist(), strict=True):
+            sets[i].add(t)
+        model.words = [frozenset(x) for x in sets]
         return BlockMaxIndex(term[mine], place[owner][mine], weight[mine] / size[owner[mine]], len(names), len(order))
 
     model.index = build(seeds)
@@ -286,7 +300,7 @@ def fit(sample: Sample, frequency: dict[str, int], n_documents: int) -> Model:
     near = np.unique(model.index.search(owner[mine], term[mine], weight[mine], n, NEAR)[0])
     model.index = build(np.union1d(seeds, near))
     # Calibrated on the sample without each document's own examples, as a new document has none.
-    query, item, cosine = model.index.search(owner, term, weight, n, NEAR)
+    query, item, cosine = model.neighbours(owner, term, weight, n)
     at = np.array(chosen_heads)[item]
     apart = (np.bincount(head, minlength=n)[at] > 1) | (of[at] != of[query])
     raw, _ = model.tally(query[apart], item[apart], cosine[apart], n)
