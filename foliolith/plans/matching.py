@@ -177,7 +177,7 @@ def pages_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     "page_coverage",
     """
 WITH have AS (SELECT DISTINCT manual, page_idx + 1 AS page FROM ocr_blocks WHERE page_idx IS NOT NULL), want AS (SELECT manual, unnest(range(1, CAST(page_count AS BIGINT) + 1)) AS page FROM manuals)
-SELECT coalesce(w.manual, h.manual) AS manual, count_if(h.page IS NULL) AS n_missing, count_if(w.page IS NULL) AS n_extra, min(CASE WHEN h.page IS NULL THEN w.page END) AS first_missing FROM want w FULL JOIN have h ON w.manual = h.manual AND w.page = h.page GROUP BY 1
+SELECT coalesce(w.manual, h.manual) AS manual, CAST(count_if(h.page IS NULL) AS BIGINT) AS n_missing, CAST(count_if(w.page IS NULL) AS BIGINT) AS n_extra, min(CASE WHEN h.page IS NULL THEN w.page END) AS first_missing FROM want w FULL JOIN have h ON w.manual = h.manual AND w.page = h.page GROUP BY 1
 """,
 )
 def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

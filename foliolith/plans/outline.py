@@ -49,7 +49,7 @@ def page_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "page_inventory",
     """
-SELECT manual, page_idx + 1 AS page, count(*) AS n_blocks, count_if(type = 'image') AS n_images, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars, CAST(sum(length(coalesce(text, ''))) AS BIGINT) < 40 AS sparse FROM ocr_blocks WHERE page_idx IS NOT NULL GROUP BY 1, 2
+SELECT manual, page_idx + 1 AS page, count(*) AS n_blocks, CAST(count_if(type = 'image') AS BIGINT) AS n_images, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars, CAST(sum(length(coalesce(text, ''))) AS BIGINT) < 40 AS sparse FROM ocr_blocks WHERE page_idx IS NOT NULL GROUP BY 1, 2
 """,
 )
 def page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE n AS ({_NODES}), k AS (SELECT *, row_number() OVER (PARTITION BY parent, lower(name) ORDER BY node) AS o FROM n),
 s AS (SELECT node, parent, CASE WHEN o > 1 THEN name || '__' || CASE WHEN o < 100 THEN lpad(CAST(o AS VARCHAR), 2, '0') ELSE substr(CAST(o AS VARCHAR), 1, 2) END ELSE name END AS seg FROM k),
 p AS (SELECT node, 1 AS depth, seg AS path FROM s WHERE parent IS NULL UNION ALL SELECT s.node, p.depth + 1, p.path || '/' || s.seg FROM s JOIN p ON s.parent = p.node)
-SELECT node, CAST(depth AS INT) AS depth, path FROM p
+SELECT CAST(node AS BIGINT) AS node, CAST(depth AS INT) AS depth, path FROM p
 """,
 )
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

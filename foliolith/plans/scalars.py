@@ -61,7 +61,7 @@ def catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "headings",
     """
-SELECT l_orderkey % 6 AS style, count(*) AS n, count_if(CASE l_orderkey % 6 WHEN 0 THEN true WHEN 5 THEN l_linenumber <= 9 ELSE false END) AS n_headings FROM lineitem GROUP BY 1
+SELECT l_orderkey % 6 AS style, count(*) AS n, CAST(count_if(CASE l_orderkey % 6 WHEN 0 THEN true WHEN 5 THEN l_linenumber <= 9 ELSE false END) AS BIGINT) AS n_headings FROM lineitem GROUP BY 1
 """,
 )
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,7 @@ def markdown_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sheet_ranges",
     """
-SELECT l_orderkey % 30 + 1 AS row, l_partkey % 900 + 1 AS col, l_linenumber AS rowspan, CAST(l_quantity AS BIGINT) AS colspan, count(*) AS n FROM lineitem GROUP BY ALL
+SELECT l_orderkey % 30 + 1 AS row, l_partkey % 900 + 1 AS col, CAST(l_linenumber AS BIGINT) AS rowspan, CAST(l_quantity AS BIGINT) AS colspan, count(*) AS n FROM lineitem GROUP BY ALL
 """,
 )
 def sheet_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +196,7 @@ def cell_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "page_furniture",
     """
-SELECT manual, count(*) AS n_blocks, count_if(bbox IS NOT NULL AND (bbox[2] < 70 OR bbox[4] > 721)) AS n_furniture FROM ocr_blocks GROUP BY 1
+SELECT manual, count(*) AS n_blocks, CAST(count_if(bbox IS NOT NULL AND (bbox[2] < 70 OR bbox[4] > 721)) AS BIGINT) AS n_furniture FROM ocr_blocks GROUP BY 1
 """,
 )
 def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
