@@ -313,17 +313,20 @@ def fit(sample: Sample, frequency: dict[str, int], n_documents: int) -> Model:
 def corpus_frequency(documents: DataFrame, vocabulary: dict[str, int], text: str = "text") -> tuple[dict[str, int], int]:
     """Documents holding each vocabulary word, over the whole corpus, and the number of documents.
 
-    Counted per Arrow batch before the shuffle; what reaches the driver is bounded by the vocabulary.
+    Texts are read as in Sample and Model.read: folded, their pieces as plain words. Counted per Arrow batch before the
+    shuffle; what reaches the driver is bounded by the vocabulary.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, n = shared.value, Counter(), 0
+        known, total, n = _Ids(shared.value), Counter(), 0
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 n += 1
                 if value:
-                    total.update(known.intersection(pieces(value.lower())))
+                    total.update({known[p] for p in set(pieces(folded(value)))})
+        names = {i: w for w, i in shared.value.items()}
+        total = Counter({names[i]: k for i, k in total.items() if i >= 0})
         total[""] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 

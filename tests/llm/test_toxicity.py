@@ -72,6 +72,17 @@ def test_frames(spark):
     assert X.toxicity(docs, empty).count() == 302 and X.toxic_documents(docs.limit(0), empty).count() == 0
 
 
+def test_corpus_frequency_reads_as_the_sample(spark):
+    texts = ["сталь и оценка твёрдости", "Die Größe der Straße", "h4rdn3ss of <b>st</b>eel", "half-\nwit, hallllfwit", "re\u0301sume\u0301 of the steel", "сталь и масса", None, ""]
+    sample = X.Sample([(t or "", float(i % 2)) for i, t in enumerate(texts * 2)])
+    want = {}
+    for t in texts:
+        for w in {X.plain_word(p) for p in X.pieces(X.folded(t or "")) if p[0].isalnum()} - {None}:
+            want[w] = want.get(w, 0) + 1
+    found, n = X.corpus_frequency(spark.createDataFrame([(t,) for t in texts], "text string"), sample.vocabulary)
+    assert n == len(texts) and found == {w: k for w, k in want.items() if w in sample.vocabulary} and set(found) == set(sample.vocabulary)
+
+
 def test_isotonic():
     import numpy as np
 
