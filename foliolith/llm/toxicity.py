@@ -27,7 +27,8 @@ SAMPLE = 2_500
 #: Least cosine of a neighbour, power of the cosine in its vote, least excess of log odds of a toxic example,
 #: trust in a benign label on such a passage.
 NEAR, SHARP, EXCESS, DOUBT = 0.4, 4, 1.2, 0.1
-#: Log odds from which a word of a toxic example counts; words that a passage shares with a neighbour at least.
+#: Log odds from which a word of a toxic example counts; words that a passage shares with
+#: a neighbour whose vote counts in full.
 MARKING, SHARED = 0.5, 2
 #: Calibrated score from which a document is a case.
 CASE = 0.5
@@ -160,13 +161,14 @@ class Model:
         return self.tally(*self.neighbours(owner, term, weight, n), n)
 
     def neighbours(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All (passage, example, cosine) at NEAR or more that share SHARED words, or the example's only one."""
+        """All (passage, example, cosine) at NEAR or more. The cosine of a pair that shares fewer than SHARED words, though
+        the example and the known words of the passage allow more, counts in proportion."""
         query, item, cosine = self.index.search(owner, term, weight, n, NEAR)
         begins = np.searchsorted(owner, np.unique(query))
         ends = np.searchsorted(owner, np.unique(query), "right")
         own = {q: frozenset(term[a:b].tolist()) for q, a, b in zip(np.unique(query).tolist(), begins, ends, strict=True)}
-        keep = np.array([len(own[q] & self.words[i]) >= min(SHARED, len(self.words[i])) for q, i in zip(query.tolist(), item.tolist(), strict=True)], bool)
-        return query[keep], item[keep], cosine[keep]
+        part = [min(1.0, len(own[q] & self.words[i]) / min(SHARED, len(self.words[i]), len(own[q]))) for q, i in zip(query.tolist(), item.tolist(), strict=True)]
+        return query, item, cosine * np.array(part, np.float32)
 
     def tally(self, query: np.ndarray, item: np.ndarray, cosine: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Raw scores and nearest toxic examples from neighbours."""
@@ -197,8 +199,7 @@ class Model:
         example: list[str | None] = [None] * len(texts)
         if self.index is None or not len(owner):
             return self.calibrated(score), evidence, example
-        size = np.bincount(owner, minlength=len(of))
-        mask = self.near(owner, ids, len(of)) & (size[owner] > 1)
+        mask = self.near(owner, ids, len(of))
         raw, best = self.votes(*self.weighted(owner[mask], ids[mask], len(of)), len(of))
         first = np.searchsorted(of, np.arange(len(texts)))
         for p in np.flatnonzero(raw > 0).tolist():
@@ -255,8 +256,7 @@ def fit(sample: Sample, frequency: dict[str, int], n_documents: int) -> Model:
     n = len(of)
     if not len(owner) or not len(names):
         return model
-    keep = np.bincount(owner, minlength=n)[owner] > 1
-    owner, term, weight = model.weighted(owner[keep], ids[keep], n)
+    owner, term, weight = model.weighted(owner, ids, n)
     odds = np.array([sample.odds[w] for w in names])
     mean_odds = np.bincount(owner, odds[term] * model.idf[term], n) / np.maximum(np.bincount(owner, model.idf[term], n), 1e-9)
     labels = sample.label[of]

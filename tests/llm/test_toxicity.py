@@ -83,6 +83,12 @@ def test_corpus_frequency_reads_as_the_sample(spark):
     assert n == len(texts) and found == {w: k for w, k in want.items() if w in sample.vocabulary} and set(found) == set(sample.vocabulary)
 
 
+@pytest.mark.parametrize("text", ["Halfwit!", "You. Halfwit.", "Halfwit zorgblat."])
+def test_few_words(model, text):
+    clean, bad = (model.score([f"Page 3 continues the table of hardness.\n\n{t}\n\nPage 9 continues."]) for t in ("", text))
+    assert bad[0][0] > clean[0][0] and bad[1][0].startswith("halfwit") and bad[2][0]
+
+
 def test_isotonic():
     import numpy as np
 
