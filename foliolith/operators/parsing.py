@@ -168,9 +168,9 @@ def source_pages(explicit: Column, target: Column, catalog: Column, regions: Col
 
 
 def related_name(page: Column, kind: Column, key: Column) -> Column:
-    """File name of a related page: page of four digits, kind of at most 24 signs, id of at most 40."""
+    """File name of a related page: page of four digits or more, kind of at most 24 signs, id of at most 40."""
     plain = lambda c, n: F.substring(F.btrim(F.regexp_replace(c, "[^A-Za-z0-9.-]+", "_"), F.lit("_")), 1, n)
-    return F.concat(F.lit("p"), F.lpad(page.cast("string"), 4, "0"), F.lit("_"), plain(kind, 24), F.lit("_"), plain(key, 40), F.lit(".pdf"))
+    return F.concat(F.lit("p"), F.when(page.isNotNull(), F.format_string("%04d", page.cast("bigint"))), F.lit("_"), plain(kind, 24), F.lit("_"), plain(key, 40), F.lit(".pdf"))
 
 
 def combined(parts: DataFrame, by: str) -> DataFrame:

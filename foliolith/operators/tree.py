@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,16 +11,14 @@ from pyspark.sql import functions as F
 
 from foliolith.runtime import cut
 
-#: Most levels a document tree may have.
-LEVELS = 24
-
 
 def hierarchy(nodes: DataFrame, by: str, sequence: str, depth: str) -> DataFrame:
     """Adds `parent`: the sequence of the last earlier node of smaller depth; null for roots. Exact where no level is
     skipped. One window with a small map of the last node of each depth: no join.
     """
+    deepest = max(2, nodes.agg(F.max(depth)).first()[0] or 0)
     w = Window.partitionBy(by).orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col(depth) == d, F.col(sequence)), True).over(w) for d in range(1, LEVELS)]
+    last = [F.last(F.when(F.col(depth) == d, F.col(sequence)), True).over(w) for d in range(1, deepest)]
     parent = F.array_max(F.filter(F.array(*(F.when(F.col(depth) > d, x) for d, x in enumerate(last, 1))), lambda x: x.isNotNull()))
     return nodes.withColumn("parent", parent)
 
@@ -49,13 +48,14 @@ def hierarchy_by_stack(nodes: DataFrame, by: str, sequence: str, depth: str) ->
 
 def paths(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
     """Rows (node, depth, path): names from the root, siblings with equal names (but for case) numbered `__NN` from the
-    second on. Level by level: one join per level of the tree, none per node.
+    second on. Level by level until none is left: one join per level of the tree, none per node. Nodes on a cycle have
+    no root and give no row.
     """
     sibling = Window.partitionBy(parent, F.lower(name)).orderBy(node)
-    named = cut(nodes.select(F.col(node).alias("n"), F.col(parent).alias("p"), F.col(name).alias("s"), F.row_number().over(sibling).alias("k")).withColumn("s", F.when(F.col("k") > 1, F.concat("s", F.lit("__"), F.lpad(F.col("k").cast("string"), 2, "0"))).otherwise(F.col("s"))))
+    named = cut(nodes.select(F.col(node).alias("n"), F.col(parent).alias("p"), F.col(name).alias("s"), F.row_number().over(sibling).alias("k")).withColumn("s", F.when(F.col("k") > 1, F.concat("s", F.lit("__"), F.format_string("%02d", "k"))).otherwise(F.col("s"))))
     level = named.where("p is null").select("n", F.lit(1).alias("depth"), F.col("s").alias("path"))
     done = level
-    for d in range(2, LEVELS + 1):
+    for d in count(2):
         level = cut(named.join(level.select(F.col("n").alias("p"), F.col("path").alias("up")), "p").select("n", F.lit(d).alias("depth"), F.concat("up", F.lit("/"), "s").alias("path")))
         if level.isEmpty():
             break
@@ -65,15 +65,19 @@ def paths(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
 
 def budgets(nodes: DataFrame, node: str, parent: str, least: str) -> DataFrame:
     """Rows (node, budget): signs that the longest path below a node needs at least: of its children the largest of one
-    separator, the child's least name and the child's own budget; leaves need none. Bottom-up, one join per level.
+    separator, the child's least name and the child's own budget; leaves need none. Bottom-up, one join per level until
+    none is left; parents on a cycle are an error.
     """
     rows = nodes.select(F.col(node).alias("n"), F.col(parent).alias("p"), F.col(least).alias("w"))
     level = cut(rows.select("n", "p", F.col("w").cast("bigint").alias("need")))
     done = rows.select("n", F.lit(0).cast("bigint").alias("budget"))
-    for _ in range(LEVELS):
+    inner = rows.where("p is not null").select("p").distinct().count()
+    for d in count():
         up = level.where("p is not null").groupBy("p").agg(F.max(F.col("need") + 1).alias("budget"))
         if up.isEmpty():
             break
+        if d > inner:
+            raise ValueError("nodes whose parents form a cycle")
         done = done.unionByName(up.select(F.col("p").alias("n"), "budget"))
         level = cut(rows.join(up.withColumnRenamed("p", "n"), "n").select("n", "p", (F.col("w") + F.col("budget")).alias("need")))
     return done.groupBy("n").agg(F.max("budget").alias("budget")).select(F.col("n").alias(node), "budget")

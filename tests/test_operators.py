@@ -214,3 +214,13 @@ def test_delivered_once(spark):
 def test_windowed_counts_on_a_batch(spark):
     events = spark.sql("select timestamp'2026-01-01 00:10:00' as ts, 'a' as kind union all select timestamp'2026-01-01 00:50:00', 'a' union all select timestamp'2026-01-01 01:10:00', 'b'")
     assert sorted(r["n"] for r in I.windowed_counts(events, "ts", "kind").collect()) == [1, 2]
+
+
+def test_tree_paths_keep_whole_numbers_and_levels(spark):
+    wide = spark.createDataFrame([(0, None, "r")] + [(i, 0, "x") for i in range(1, 1235)], "n bigint, p bigint, s string")
+    found = {r["n"]: r["path"] for r in T.paths(wide, "n", "p", "s").collect()}
+    assert len(set(found.values())) == 1235 and [found[i] for i in (1, 2, 99, 100, 1234)] == ["r/x", "r/x__02", "r/x__99", "r/x__100", "r/x__1234"]
+    deep = spark.createDataFrame([(i, i - 1 if i else None, "a", 1, i + 1) for i in range(27)], "n bigint, p bigint, s string, m int, d int")
+    assert T.paths(deep, "n", "p", "s").agg({"depth": "max"}).first()[0] == 27
+    assert T.budgets(deep.selectExpr("n", "p", "1 as w"), "n", "p", "w").where("n = 0").first()["budget"] == 52
+    assert [r["parent"] for r in T.hierarchy(deep, "m", "n", "d").orderBy("n").collect()] == [None, *range(26)]

@@ -46,3 +46,8 @@ def test_reparse(spark):
     old = spark.createDataFrame([("a", "", "x", [1, 2]), ("", "s", "y", [3]), (None, None, None, [1]), ("g", "", "", None)], schema)
     new = spark.createDataFrame([("a", "", "z", [2]), ("", "s", "y", [3, 4]), ("n", "", "", [1])], schema)
     assert rows(R.reparse(old, new)) == [("a", "updated"), ("g", "gone"), ("n", "new"), ("s", "grown")]
+
+
+def test_related_name_keeps_whole_pages(spark):
+    names = spark.range(1).select(R.related_name(F.lit(12345), F.lit("k"), F.lit("1")), R.related_name(F.lit(None).cast("int"), F.lit("k"), F.lit("1"))).first()
+    assert tuple(names) == ("p12345_k_1.pdf", None)
