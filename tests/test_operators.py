@@ -224,3 +224,11 @@ def test_tree_paths_keep_whole_numbers_and_levels(spark):
     assert T.paths(deep, "n", "p", "s").agg({"depth": "max"}).first()[0] == 27
     assert T.budgets(deep.selectExpr("n", "p", "1 as w"), "n", "p", "w").where("n = 0").first()["budget"] == 52
     assert [r["parent"] for r in T.hierarchy(deep, "m", "n", "d").orderBy("n").collect()] == [None, *range(26)]
+
+
+def test_archive_roundtrip_takes_every_project(spark):
+    from foliolith.plans.io import archive_roundtrip
+
+    found = archive_roundtrip(spark, "/root/testdata/sf0.001").collect()
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    assert sorted(r["name"] for r in found) == sorted(f"fig_{r[0]}" for r in parts.select("p_partkey").collect()) and all(r["equal"] for r in found)
