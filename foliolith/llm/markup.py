@@ -79,6 +79,9 @@ _M_STRIKE = re.compile(r"~~(?=[^\s~])([^\n]*?[^\s~])~~")
 _M_QUOTE = re.compile(r"^ {0,3}>(?: |$)[ \t]*", re.M)
 _M_LIST = re.compile(r"^([ \t]*)([-*+])[ \t]+(?=\S)", re.M)
 _HELD = re.compile("[\ue100-\ueffd]")
+#: Pieces that have a sign of their own; later ones have a number in signs between \ueffc and \ueffd.
+SINGLE = 0xEFC
+_PIECE_SIGNS = re.compile("[\ue100-\ueffb]|\ueffc[\ue100-\ueffb]+\ueffd")
 
 
 class _Events(HTMLParser):
@@ -195,6 +198,24 @@ def content_lines(ratio: dict[int, list[int]], n: int) -> list[bool]:
     return [x > cut for x in smooth]
 
 
+def _signs(number: int) -> str:
+    """Private signs that stand for a piece."""
+    if number < SINGLE:
+        return chr(0xE100 + number)
+    out = ""
+    while number:
+        number, digit = divmod(number, SINGLE)
+        out = chr(0xE100 + digit) + out
+    return f"\ueffc{out}\ueffd"
+
+
+def _number(signs: str) -> int:
+    out = 0
+    for sign in signs.strip("\ueffc\ueffd"):
+        out = out * SINGLE + ord(sign) - 0xE100
+    return out
+
+
 class _Holder:
     """Set-aside pieces, each behind a private sign."""
 
@@ -204,22 +225,20 @@ class _Holder:
 
     def hold(self, pattern: re.Pattern, kind: str, render) -> None:  # noqa: ANN001
         def put(m: re.Match) -> str:
-            if len(self.kept) >= 0xEFC:
-                return m[0]
             shown = render(m)
             if shown is None:
                 return m[0]
             self.kinds.add(kind)
             self.kept.append(shown)
-            return chr(0xE100 + len(self.kept) - 1)
+            return _signs(len(self.kept) - 1)
 
         self.text = pattern.sub(put, self.text)
 
     def released(self, text: str) -> str:
         for _ in range(4):
-            if not _HELD.search(text):
+            if not _PIECE_SIGNS.search(text):
                 break
-            text = _HELD.sub(lambda m: self.kept[ord(m[0]) - 0xE100] if ord(m[0]) - 0xE100 < len(self.kept) else m[0], text)
+            text = _PIECE_SIGNS.sub(lambda m: self.kept[k] if (k := _number(m[0])) < len(self.kept) else m[0], text)
         return text
 
 

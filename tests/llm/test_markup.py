@@ -57,6 +57,14 @@ def test_long_text():
     assert M.convert("<p>" + "word " * 200_000 + "</p>")[1] == ["html"]
 
 
+def test_any_number_of_held_pieces():
+    n = 9_000
+    text, kinds, _ = M.convert(" ".join(f"$a_{{{i}}}*b*$" for i in range(n)))
+    assert kinds == ["latex"] and text == " ".join(f"$a_{{{i}}}*b*$" for i in range(n))
+    text, kinds, _ = M.convert("$x$ " * 4_000 + "`<b>{{y}}</b>`")
+    assert kinds == ["latex", "markdown"] and text.endswith("`<b>{{y}}</b>`")
+
+
 def test_frame(spark):
     rows = [(1, "<b>x</b>", None, "", "clash"), (1, "<b>x</b>", None, "", None), (2, None, "plain", "$x$", ""), (3, None, None, None, None)]
     df = spark.createDataFrame(rows, "block_id bigint, table_body string, html string, content string, markup string")
