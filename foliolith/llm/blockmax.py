@@ -1,133 +1,234 @@
-"""Inverted index over a bounded set of texts with block maxima, queried in vectors.
+"""Inverted index with block maxima: exact retrieval of every item at or above a threshold.
 
-Postings lists are cut into blocks of neighbouring items, each with the largest weight of its term. For a batch of
-queries the block maxima of their terms are added up first; only blocks whose bound reaches the threshold are opened and
-scored exactly. As no score can exceed its bound, every item at or above the threshold is found.
+Postings of a term are sorted by item and cut into blocks at multiples of BLOCK items, so that blocks of different terms
+cover the same items. A block has its largest weight; inside it items are one-byte offsets. Nothing is stored for blocks
+without postings: the memory is linear in the postings. No score can exceed its bounds, so nothing is missed.
+
+`pivots` moves document at a time (block-max WAND), `blocks` block at a time (block-max MaxScore); both take many queries
+at once, one numpy operation for all.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Items per block, blocks per group of blocks, and cells of a matrix worked on at once.
-BLOCK, GROUP, CELLS = 16, 8, 8_000_000
-#: Cells up to which the weights are also held as a dense matrix, so that bounds and scores are matrix products.
-DENSE_CELLS = 64_000_000
+#: Items that a block covers; term pointers that move in step; block bounds worked on at once.
+BLOCK, POINTERS, CELLS = 16, 400_000, 500_000
 #: Slack of single-precision sums.
 SLACK = 1e-4
 
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges that begin at `begin` and have `size` members: the range of each member, and the member."""
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + begin[which]
+
+
+def _joined(out: list[Hits]) -> Hits:
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.float32)
+    query, item, score = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((item, query))
+    return query[order], item[order], score[order]
+
 
 class BlockMaxIndex:
-    """Index of weights (term, item); items should be ordered so that similar ones share a block."""
+    """Index of weights (term, item), each pair once. Items should be ordered so that similar ones are neighbours."""
 
     def __init__(self, terms: np.ndarray, items: np.ndarray, weights: np.ndarray, n_terms: int, n_items: int) -> None:
         self.n_terms, self.n_items = n_terms, n_items
-        self.blocks = max(1, -(-n_items // BLOCK))
+        self.n_blocks = -(-n_items // BLOCK) + 1
         order = np.lexsort((items, terms))
-        terms, items, weights = terms[order], items[order], weights[order].astype(np.float32)
-        block = items // BLOCK
-        self.bound = np.zeros((n_terms, self.blocks), np.float32)
-        np.maximum.at(self.bound, (terms, block), weights)
-        self.groups = -(-self.blocks // GROUP)
-        padded = np.zeros((n_terms, self.groups * GROUP), np.float32)
-        padded[:, : self.blocks] = self.bound
-        self.group_bound = padded.reshape(n_terms, self.groups, GROUP).max(axis=2)
-        self.dense = None
-        if n_terms * self.blocks * BLOCK <= DENSE_CELLS:
-            self.dense = np.zeros((n_terms, self.blocks * BLOCK), np.float32)
-            self.dense[terms, items] = weights
-        # Opened blocks are dense: a slot for each (term, block) that has a posting, and its weights by item.
-        slot_key, slot = np.unique(terms.astype(np.int64) * self.blocks + block, return_inverse=True)
-        self.slot_key = slot_key
-        self.slot_weight = np.zeros((len(slot_key), BLOCK), np.float32)
-        self.slot_weight[slot, items % BLOCK] = weights
-
-    def search(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray | None, n_queries: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All (query, item, score) with score >= threshold. `owner` (sorted) and `term` list the terms of each query; a
-        term counts once per query, with its last weight, or 1.
+        terms, items, weights = terms[order].astype(np.int64), items[order].astype(np.int64), weights[order].astype(np.float32)
+        key = terms * self.n_blocks + items // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        #: Term and place of each block, its first posting, its largest weight.
+        self.key = key[first]
+        self.begin = np.append(first, len(key)).astype(np.int64)
+        self.top = np.maximum.reduceat(weights, first) if len(key) else np.zeros(0, np.float32)
+        self.offset = (items % BLOCK).astype(np.uint8)
+        self.weight = weights
+        self.block_of = np.searchsorted(self.key, np.arange(n_terms + 1) * self.n_blocks)
+        self.term_top = np.zeros(max(n_terms, 1), np.float32)
+        np.maximum.at(self.term_top, terms, weights)
+
+    def nbytes(self) -> int:
+        """Memory of the index."""
+        return sum(x.nbytes for x in (self.key, self.begin, self.top, self.offset, self.weight, self.block_of, self.term_top))
+
+    def _queries(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray | None, n_queries: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms of the queries that their largest weights can lift to the threshold, each once per query."""
+        most = self.term_top[term] if weight is None else self.term_top[term] * weight
+        alive = np.bincount(owner, most, n_queries) >= threshold * (1 - SLACK)
+        mine = np.flatnonzero(alive[owner] & (self.term_top[term] > 0))
+        mine = mine[np.unique(owner[mine].astype(np.int64) * self.n_terms + term[mine], return_index=True)[1]]
+        return owner[mine], term[mine].astype(np.int64), np.ones(len(mine), np.float32) if weight is None else weight[mine].astype(np.float32)
+
+    def _found(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks of some keys, and which there are."""
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return at, self.key[at] == key
+
+    def blocks(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray | None, n_queries: int, threshold: float) -> Hits:
+        """All (query, item, score) with score >= threshold, block at a time.
+
+        The longest lists of a query that together can't reach the threshold only add to what the others find. The block
+        maxima of the others are added up; blocks that can't reach the threshold, first with the largest, then with their
+        own weights of the long lists, are never opened.
         """
-        if self.dense is not None:
-            return self._matrix(owner, term, weight, n_queries, threshold)
-        pair = np.unique(owner.astype(np.int64) * self.n_terms + term, return_index=True)[1]
-        owner, term, weight = owner[pair], term[pair], None if weight is None else weight[pair]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        step = max(1, CELLS // self.blocks)
+        own, term, weight = self._queries(owner, term, weight, n_queries, threshold)
+        least = threshold * (1 - SLACK)
+        length = self.block_of[term + 1] - self.block_of[term]
+        most = self.term_top[term] * weight
+        order = np.lexsort((-length, own))
+        own, term, weight, length, most = (x[order] for x in (own, term, weight, length, most))
+        begins = np.flatnonzero(np.diff(own, prepend=-1))
+        size = np.diff(begins, append=len(own))
+        total = np.cumsum(most.astype(np.float64))
+        aside = total - np.repeat(np.append(0, total)[begins], size) < least
+        rest = np.bincount(np.repeat(np.arange(len(begins)), size), np.where(aside, most, 0), len(begins))
+        cost = np.cumsum(np.bincount(np.repeat(np.arange(len(begins)), size), np.where(aside, 0, length), len(begins)))
+        out: list[Hits] = []
         at = 0
-        while at < len(owner):
-            stop = min(len(owner), at + step)
-            if stop < len(owner):
-                cut = int(np.searchsorted(owner, owner[stop]))
-                stop = cut if cut > at else int(np.searchsorted(owner, owner[at], "right"))
-            out.append(self._some(owner[at:stop], term[at:stop], None if weight is None else weight[at:stop], threshold))
+        while at < len(begins):
+            stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + CELLS, "right")))
+            part = slice(begins[at], begins[stop] if stop < len(begins) else len(own))
+            out.append(self._open(own[begins[at:stop]], size[at:stop], term[part], weight[part], aside[part], rest[at:stop], least))
             at = stop
-        if not out:
-            none = np.zeros(0, np.int64)
-            return none, none, np.zeros(0, np.float32)
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return _joined(out)
 
-    def _matrix(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray | None, n_queries: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Maxima of groups of blocks first (sparse), then of blocks and the scores themselves (matrix products)."""
-        least = threshold * (1 - SLACK)
-        queries, items, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-        begins = np.searchsorted(owner, np.arange(n_queries + 1))
-        live = np.zeros(n_queries, bool)
-        step = max(1, CELLS // self.groups)
+    def _open(self, query: np.ndarray, size: np.ndarray, term: np.ndarray, weight: np.ndarray, aside: np.ndarray, rest: np.ndarray, least: float) -> Hits:
+        row = np.repeat(np.arange(len(query)), size)
+        lead = np.flatnonzero(~aside)
+        which, block = _spread(self.block_of[term[lead]], self.block_of[term[lead] + 1] - self.block_of[term[lead]])
+        entry = lead[which]
+        place = self.key[block] - term[entry] * self.n_blocks
+        pair, at = np.unique(row[entry] * self.n_blocks + place, return_inverse=True)
+        bound = np.bincount(at, self.top[block] * weight[entry], len(pair))
+        pair, bound = self._left(pair, bound, bound + rest[pair // self.n_blocks] >= least)
+        # Long lists with their own block maxima.
+        begins = np.cumsum(size) - size
+        n_aside = np.bincount(row, aside, len(query)).astype(np.int64)
+        which, entry = _spread(begins[pair // self.n_blocks], n_aside[pair // self.n_blocks])
+        block, there = self._found(term[entry] * self.n_blocks + (pair % self.n_blocks)[which])
+        bound = bound + np.bincount(which, np.where(there, self.top[block] * weight[entry], 0), len(pair))
+        pair, _ = self._left(pair, bound, bound >= least)
+        # Opened.
+        which, entry = _spread(begins[pair // self.n_blocks], size[pair // self.n_blocks])
+        block, there = self._found(term[entry] * self.n_blocks + (pair % self.n_blocks)[which])
+        which, entry, block = which[there], entry[there], block[there]
+        n, posting = _spread(self.begin[block], self.begin[block + 1] - self.begin[block])
+        score = np.bincount(which[n] * BLOCK + self.offset[posting], self.weight[posting] * weight[entry][n], len(pair) * BLOCK)
+        hit = np.flatnonzero(score >= least)
+        opened = pair[hit // BLOCK]
+        return query[opened // self.n_blocks], (opened % self.n_blocks) * BLOCK + hit % BLOCK, score[hit].astype(np.float32)
+
+    @staticmethod
+    def _left(pair: np.ndarray, bound: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return pair[keep], bound[keep]
+
+    def nearest(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n_queries: int, threshold: float, most: int) -> Hits:
+        """The `most` best items of each query among those with score >= threshold, of equal scores the first items.
+
+        The threshold is let down in steps: a query with enough items at a higher one needs no other.
+        """
+        out: list[Hits] = []
+        steps = [x for x in (0.8, 0.6) if x > threshold] + [threshold]
+        for step in steps:
+            query, item, score = self.blocks(owner, term, weight, n_queries, step)
+            enough = (np.bincount(query, minlength=n_queries) >= most) | (step == threshold)
+            mine = enough[query]
+            query, item, score = query[mine], item[mine], score[mine]
+            order = np.lexsort((item, -score, query))
+            query, item, score = query[order], item[order], score[order]
+            nth = np.arange(len(query)) - np.searchsorted(query, query)
+            out.append((query[nth < most], item[nth < most], score[nth < most]))
+            left = ~enough[owner]
+            owner, term, weight = owner[left], term[left], weight[left]
+        return _joined(out)
+
+    def pivots(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray | None, n_queries: int, threshold: float) -> Hits:
+        """All (query, item, score) with score >= threshold, document at a time.
+
+        Each query has a pointer into the list of each of its terms. With the terms in order of the items they point at,
+        the pivot is the first item that the largest weights of the terms up to it can lift to the threshold. If the maxima
+        of the blocks around it can't, all these lists jump behind the block; else the item is scored. Queries of like
+        length move in step.
+        """
+        own, term, weight = self._queries(owner, term, weight, n_queries, threshold)
+        begins = np.flatnonzero(np.diff(own, prepend=-1))
+        size = np.diff(begins, append=len(own))
+        order = np.argsort(size, kind="stable")
+        out: list[Hits] = []
         at = 0
-        while at < n_queries:
-            stop = max(at + 1, int(np.searchsorted(begins, begins[at] + step, "right")) - 1)
-            part = slice(begins[at], begins[stop])
-            if begins[stop] > begins[at]:
-                rows = self.group_bound[term[part]]
-                if weight is not None:
-                    rows *= weight[part, None]
-                first = np.flatnonzero(np.diff(owner[part], prepend=-1))
-                live[owner[part][first]] = np.add.reduceat(rows, first, axis=0).max(axis=1) >= least
-            at = stop
-        alive = np.flatnonzero(live)
-        step = max(1, CELLS // max(self.n_terms, self.blocks))
-        for at in range(0, len(alive), step):
-            some = alive[at : at + step]
-            count = begins[some + 1] - begins[some]
-            row = np.repeat(np.arange(len(some)), count)
-            entry = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begins[some], count)
-            rows = np.zeros((len(some), self.n_terms), np.float32)
-            rows[row, term[entry]] = 1 if weight is None else weight[entry]
-            open_ = (rows @ self.bound) >= least
-            for block in np.flatnonzero(open_.any(axis=0)):
-                which = np.flatnonzero(open_[:, block])
-                score = rows[which] @ self.dense[:, block * BLOCK : (block + 1) * BLOCK]
-                hit, lane = np.nonzero(score >= least)
-                queries.append(some[which[hit]])
-                items.append(lane + block * BLOCK)
-                scores.append(score[hit, lane])
-        return np.concatenate(queries), np.concatenate(items), np.concatenate(scores)
-
-    def _some(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        first = np.flatnonzero(np.diff(owner, prepend=-1))
-        rows = self.bound[term]
-        if weight is not None:
-            rows = rows * weight[:, None]
-        bound = np.add.reduceat(rows, first, axis=0)
-        query, block = np.nonzero(bound >= threshold * (1 - SLACK))
-        if not len(query):
-            none = np.zeros(0, np.int64)
-            return none, none, np.zeros(0, np.float32)
-        size = np.diff(first, append=len(owner))
-        count = size[query]
-        pair = np.repeat(np.arange(len(query)), count)
-        nth = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
-        entry = first[query][pair] + nth
-        key = term[entry].astype(np.int64) * self.blocks + block[pair]
-        slot = np.searchsorted(self.slot_key, key)
-        there = slot < len(self.slot_key)
-        there[there] = self.slot_key[slot[there]] == key[there]
-        pair, entry, slot = pair[there], entry[there], slot[there]
-        rows = self.slot_weight[slot]
-        if weight is not None:
-            rows = rows * weight[entry][:, None]
-        begins = np.flatnonzero(np.diff(pair, prepend=-1))
-        score = np.zeros((len(query), BLOCK), np.float32)
-        if len(begins):
-            score[pair[begins]] = np.add.reduceat(rows, begins, axis=0)
-        hit, lane = np.nonzero(score >= threshold * (1 - SLACK))
-        return owner[first[query[hit]]], block[hit] * BLOCK + lane, score[hit, lane]
+        while at < len(order):
+            step = max(1, POINTERS // int(size[order[-1]]))
+            some = order[at : at + step]
+            lane = np.arange(size[some].max())
+            there = lane < size[some][:, None]
+            where = np.where(there, begins[some][:, None] + lane, 0)
+            out.append(self._walk(own[begins[some]], np.where(there, term[where], -1), np.where(there, weight[where], 0), threshold * (1 - SLACK)))
+            at += step
+        return _joined(out)
+
+    def _seek(self, term: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each list the first posting whose item is at least `item`, its block and its item (n_items: none is left)."""
+        block = np.searchsorted(self.key, term * self.n_blocks + item // BLOCK)
+        inside = np.minimum(block, len(self.key) - 1)
+        here = self.key[inside] == term * self.n_blocks + item // BLOCK
+        begin, size = self.begin[inside], self.begin[inside + 1] - self.begin[inside]
+        lane = np.arange(BLOCK)
+        offset = self.offset[np.minimum(begin[:, None] + lane, len(self.offset) - 1)]
+        less = ((offset < (item % BLOCK)[:, None]) & (lane < size[:, None])).sum(axis=1)
+        block += here & (less == size)
+        return self._at(term, block, np.where(here & (less < size), begin + less, -1))
+
+    def _at(self, term: np.ndarray, block: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Block, posting (its first where `place` is -1) and item of pointers."""
+        over = block >= self.block_of[term + 1]
+        block = np.minimum(block, len(self.key) - 1)
+        place = np.where(place < 0, self.begin[block], place)
+        item = (self.key[block] - term * self.n_blocks) * BLOCK + self.offset[place]
+        return block, place, np.where(over, self.n_items, item)
+
+    def _walk(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, least: float) -> Hits:
+        """Move the pointers of some queries (rows of `term` and `weight`, padded with term -1) until no pivot is left."""
+        n, width = term.shape
+        end = self.n_items
+        most = np.where(term >= 0, self.term_top[term] * weight, 0)
+        block, place, item = self._at(term, self.block_of[term], np.full(term.shape, -1))
+        item = np.where(term >= 0, item, end)
+        found: list[Hits] = []
+        alive = np.arange(n)
+        while True:
+            at = item[alive]
+            order = np.argsort(at, axis=1, kind="stable")
+            at = np.take_along_axis(at, order, 1)
+            pivot = (np.cumsum(np.take_along_axis(most[alive], order, 1), axis=1) < least).sum(axis=1)
+            goal = np.where(pivot < width, at[np.arange(len(alive)), np.minimum(pivot, width - 1)], end)
+            goes = goal < end
+            alive, order, at, goal = alive[goes], order[goes], at[goes], goal[goes]
+            if not len(alive):
+                return _joined(found)
+            upto = at <= goal[:, None]  # terms up to the pivot, and those that stand on it
+            row, col = np.nonzero(upto)
+            q, lane = alive[row], order[row, col]
+            t = term[q, lane]
+            near, there = self._found(t * self.n_blocks + (goal // BLOCK)[row])
+            opens = np.bincount(row, np.where(there, self.top[near] * weight[q, lane], 0), len(alive)) >= least
+            behind = np.where(upto, end, at).min(axis=1)
+            jump = np.where(opens, goal, np.maximum(np.minimum((goal // BLOCK + 1) * BLOCK, behind), goal + 1))
+            moves = item[q, lane] < jump[row]
+            q2, lane2 = q[moves], lane[moves]
+            block[q2, lane2], place[q2, lane2], item[q2, lane2] = self._seek(t[moves], jump[row[moves]])
+            on = opens[row] & (item[q, lane] == goal[row])
+            q, lane, row, t = q[on], lane[on], row[on], t[on]
+            score = np.bincount(row, self.weight[place[q, lane]] * weight[q, lane], len(alive))
+            hit = np.flatnonzero(score >= least)
+            found.append((query[alive[hit]], goal[hit], score[hit].astype(np.float32)))
+            place[q, lane] += 1
+            done = place[q, lane] >= self.begin[block[q, lane] + 1]
+            block[q, lane], place[q, lane], item[q, lane] = self._at(t, block[q, lane] + done, np.where(done, -1, place[q, lane]))

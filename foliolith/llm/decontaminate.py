@@ -1,30 +1,32 @@
 """Passages of evaluation items inside training documents.
 
 Overlapping segments of the items form a BM25 index with block maxima; every passage of every document is a query against
-it. Each segment has its own threshold: the smallest BM25 score that a passage holding any of its runs of N_WORDS words
-can have. Weights are divided by it, so one threshold serves all and no leak can be missed: every run lies inside a
-segment, and every N_WORDS words of a document inside a passage. What is retrieved is then verified word by word.
+it, searched document at a time with a moving pivot. Each segment has its own threshold: the smallest BM25 score that a
+passage holding any of its runs of N_WORDS words can have. Weights are divided by it, so one threshold serves all and no
+leak can be missed: every run lies inside a segment, and every N_WORDS words of a document inside a passage. Words outside
+of runs of N_WORDS words that occur in items at all are no part of a query. What is retrieved is then verified word by word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from foliolith.llm.blockmax import BlockMaxIndex
 from foliolith.llm.fold import GLUE, _WORD, reader_text, words
-from foliolith.runtime import bounded_rows
 
 #: Words in a row that make a leak; words of a passage and of a segment (they overlap by N_WORDS - 1).
 N_WORDS, PASSAGE = 12, 24
 STRIDE = PASSAGE - N_WORDS + 1
 #: BM25 parameters.
 K1, B = 1.2, 0.75
-#: Most evaluation items; they are held by each worker. More are an error, never cut.
-MOST_ITEMS = 100_000
+#: Evaluation items of one index, on average; more items make more indexes, each with a scan of its own.
+ITEMS = 50_000
 _GLUE = dict.fromkeys(map(ord, GLUE))
 
 
@@ -74,6 +76,7 @@ class EvaluationIndex:
         broken: list[dict[int, list[str]]] = []
         ids: list[int] = []
         extra_at, extra_id = [], []
+        lengths: list[tuple[int, int]] = []
         sizes = np.zeros(len(texts), np.int64)
         get = self.terms.get
         for k, text in enumerate(texts):
@@ -83,6 +86,7 @@ class EvaluationIndex:
                     if x in self.terms:
                         extra_at.append(len(ids) + at)
                         extra_id.append(self.terms[x])
+                lengths.append((len(ids) + at, len(some)))
             ids.extend([get(x, -1) for x in found])
             sizes[k] = len(found)
             spelled.append(found)
@@ -95,7 +99,7 @@ class EvaluationIndex:
         first = np.cumsum(passages) - passages
         at = np.concatenate([np.arange(len(ids)), np.array(extra_at, np.int64)])
         term = np.concatenate([np.array(ids, np.int64), np.array(extra_id, np.int64)])
-        keep = term >= 0
+        keep = (term >= 0) & self._in_runs(at, term, begin, sizes, lengths)[at]
         at, term = at[keep], term[keep]
         of = np.repeat(np.arange(len(texts)), sizes)[at]
         own, rest = np.divmod(at - begin[of], STRIDE)
@@ -103,7 +107,7 @@ class EvaluationIndex:
         owner = np.concatenate([(first[of] + own)[in_own], (first[of] + own - 1)[in_last]])
         term = np.concatenate([term[in_own], term[in_last]])
         order = np.argsort(owner, kind="stable")
-        query, unit, _ = self.index.search(owner[order], term[order], None, int(passages.sum()), 1.0)
+        query, unit, _ = self.index.pivots(owner[order], term[order], None, int(passages.sum()), 1.0)
         texts_out, ids_out = [], []
         which = np.repeat(np.arange(len(texts)), passages)[query]
         seen: set[tuple[int, int]] = set()
@@ -115,6 +119,22 @@ class EvaluationIndex:
                     ids_out.append(item_id)
         return texts_out, ids_out
 
+    @staticmethod
+    def _in_runs(at: np.ndarray, term: np.ndarray, begin: np.ndarray, sizes: np.ndarray, lengths: list[tuple[int, int]]) -> np.ndarray:
+        """Mask of the words in runs of at least N_WORDS words that occur in items at all: no leak lies outside of them.
+        `lengths` has the words that are read whole or in parts, with the number of parts.
+        """
+        n = int(sizes.sum())
+        known, size = np.zeros(n, bool), np.ones(n, np.int64)
+        known[at[term >= 0]] = True
+        for k, parts in lengths:
+            size[k] = max(1, parts)
+        opens = np.zeros(n, bool)
+        opens[begin[sizes > 0]] = True
+        opens[1:] |= known[1:] != known[:-1]
+        run = np.cumsum(opens) - 1
+        return known & (np.bincount(run, size) >= N_WORDS)[run]
+
     def _verified(self, spelled: list[str], broken: dict[int, list[str]], at: int, unit: int) -> bool:
         """Whether a run of the segment's words stands between borders of words of the passage that begins at `at`."""
         some = spelled[at : at + PASSAGE]
@@ -140,12 +160,17 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
 
     Null, empty and short texts and items give none; items issued twice are found under each id; a repeated document row
     gives its rows again. Words are compared without case, punctuation, markup, line ends, invisible signs and look-alikes;
-    a word broken by a wrap or a tag counts as whole. The items (at most MOST_ITEMS, else an error) are broadcast; the
-    documents are scanned once, whole, without a shuffle.
+    a word broken by a wrap or a tag counts as whole. The items are broadcast, ITEMS at a time by a hash of their ids; for
+    each such part of the items the documents are scanned once, whole, without a shuffle.
     """
-    spark = documents.sparkSession
-    rows = bounded_rows(items.select(item_key, text).where(f"{item_key} is not null"), MOST_ITEMS, "evaluation items")
-    shared = spark.sparkContext.broadcast(EvaluationIndex([(r[0], r[1]) for r in rows]))
+    held = items.select(item_key, text).where(f"{item_key} is not null")
+    parts = max(1, -(-held.count() // ITEMS))
+    found = [_leaks_of(documents, held.where(F.pmod(F.xxhash64(item_key), F.lit(parts)) == k), key, text, item_key) for k in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _leaks_of(documents: DataFrame, items: DataFrame, key: str, text: str, item_key: str) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(EvaluationIndex([(r[0], r[1]) for r in items.collect()]))
     schema = f"{key} {documents.schema[key].dataType.simpleString()}, {item_key} {items.schema[item_key].dataType.simpleString()}"
     id_type = pa.int64() if items.schema[item_key].dataType.simpleString() == "bigint" else None
 

@@ -153,10 +153,27 @@ _SIGNS = re.compile(f"[{GLUE}]+")
 _SPECIAL = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in IGNORABLE) + "".join(map(chr, _TWIN)) + "]")
 
 
+#: Links by what marks them: all but the shown text goes.
+_LINKS = (
+    ("](", re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]*(?:\s+[\"'][^\n\"']*[\"'])?\)")),
+    ("[[", re.compile(r"\[\[(?:[^\[\]|\n]*\|)*([^\[\]|\n]*)\]\]")),
+    ("://", re.compile(r"\[(?:https?|ftp)://[^\s\]]+\s+([^\]\n]*)\]")),
+    ("\\href", re.compile(r"\\href\{[^{}\n]*\}\{([^{}]*)\}")),
+)
+
+
 def without_tags(text: str) -> str:
-    """Text with character references resolved, comments and tags gone, LaTeX commands reduced to their arguments."""
-    if "&" in text:
-        text = html.unescape(text)
+    """Text with character references resolved, however often escaped, comments and tags gone, links reduced to what they
+    show, LaTeX commands to their arguments.
+    """
+    while "&" in text:
+        plain = html.unescape(text)
+        if plain == text:
+            break
+        text = plain
+    for sign, pattern in _LINKS:
+        if sign in text:
+            text = pattern.sub(r"\1", text)
     if "<" in text:
         text = _INLINE.sub("", _BLOCK.sub("\n", _COMMENT.sub("", text)))
     if "{" in text:

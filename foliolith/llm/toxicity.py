@@ -1,10 +1,10 @@
 """Abusive, hateful or sexual passages, by their nearest labelled examples.
 
-Fitting, on a bounded sample of labelled documents: passages of documents labelled toxic whose words set such documents
-apart become toxic examples; passages of other documents near one of them become benign examples. TF-IDF weights use
-document frequencies counted over the whole corpus. Scoring: every passage of every document is a query against a
-block-max index of the toxic examples; all at a cosine of NEAR or more are found exactly, and only such passages meet the
-benign examples too. Their votes, weighted by cosine, give a raw score that is calibrated against the labels.
+Fitting, on a bounded sample of labelled documents: every passage is an example with all its words as a TF-IDF vector.
+Weights use document frequencies counted over the whole corpus. Scoring: every passage of every document is a query against
+a block-max index of the examples that hold toxic votes; all at a cosine of NEAR or more are found exactly. The passages
+that meet one ask their VOTERS nearest examples of either kind; votes, weighted by a power of the cosine, give a raw score
+that is calibrated against the labels.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 from foliolith.llm.blockmax import BlockMaxIndex
 from foliolith.llm.fold import reader_text
 
-#: Most labelled documents of each class that are fitted on: those with the lowest hash of their id.
-SAMPLE = 2_500
-#: Least cosine of a neighbour, power of the cosine in its vote, least excess of log odds of a toxic example,
-#: trust in a benign label on such a passage.
-NEAR, SHARP, EXCESS, DOUBT = 0.4, 4, 1.2, 0.1
-#: Log odds from which a word of a toxic example counts; words that a passage shares with
-#: a neighbour whose vote counts in full.
-MARKING, SHARED = 0.5, 2
+#: Most labelled documents, toxic and benign, that are fitted on: those with the lowest hash of their id.
+SAMPLE = (1_000, 2_000)
+#: Least cosine of a neighbour, power of the cosine in its vote, nearest examples that vote.
+NEAR, SHARP, VOTERS = 0.4, 4, 16
+#: Least cosine of the examples that are asked whether a vote stands.
+ALIKE = 0.6
+#: Benign vote that every passage begins with.
+PRIOR = 0.1
+#: Least support of a toxic vote, as a share of the best supported one of its document.
+SUPPORT = 0.25
 #: Calibrated score from which a document is a case.
 CASE = 0.5
 #: Signs that stand for letters. Fixed values.
@@ -105,10 +107,11 @@ class Model:
         self.vocabulary: dict[str, int] = {}
         self.idf = np.zeros(0, np.float32)
         self.unknown = 1.0
+        #: All examples, and the place among them of each item of the index of the toxic ones.
         self.index: BlockMaxIndex | None = None
-        self.toxic_share = self.weight = np.zeros(0)
-        self.examples: list[str] = []
-        self.words: list[frozenset[int]] = []
+        self.toxic_index: BlockMaxIndex | None = None
+        self.toxic = self.benign = np.zeros(0)
+        self.examples: dict[int, str] = {}
         self.steps = (np.zeros(0), np.zeros(0))
         self.ids: _Ids | None = None
 
@@ -139,53 +142,50 @@ class Model:
 
     def weighted(self, owner: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Terms and TF-IDF weights over the norm, by passage: the root of the count times idf. Unknown words count in the norm."""
-        weight = np.append(self.idf, self.unknown)[ids]
-        norm = np.sqrt(np.maximum(np.bincount(owner, weight.astype(np.float64) ** 2, n), 1e-12))
-        known = ids >= 0
-        key, count = np.unique(owner[known] * len(self.idf) + ids[known], return_counts=True)
-        own, term = np.divmod(key, max(len(self.idf), 1))
+        size = len(self.idf) + 1
+        key, count = np.unique(owner * size + np.where(ids < 0, size - 1, ids), return_counts=True)
+        own, term = np.divmod(key, size)
+        squared = np.append(self.idf, self.unknown).astype(np.float64)[term] ** 2 * count
+        norm = np.sqrt(np.maximum(np.bincount(own, squared, n), 1e-12))
+        known = term < size - 1
+        own, term, count = own[known], term[known], count[known]
         return own, term, (self.idf[term] * np.sqrt(count) / norm[own]).astype(np.float32)
 
     def near(self, owner: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-        """Mask of the words in passages that an example may be near: by the largest weight of each word in any example."""
-        weight = np.append(self.idf, self.unknown)[ids]
-        norm = np.sqrt(np.maximum(np.bincount(owner, weight.astype(np.float64) ** 2, n), 1e-12))
-        bound = np.bincount(owner, weight * np.append(self.index.group_bound.max(axis=1), 0)[ids], n)
+        """Mask of the words in passages that a toxic example may be near, by the largest weights of their words: a bound
+        of the cosine, as repeated words count in full here.
+        """
+        weight = np.append(self.idf, self.unknown)[ids].astype(np.float64)
+        norm = np.sqrt(np.maximum(np.bincount(owner, weight**2, n), 1e-12))
+        bound = np.bincount(owner, weight * np.append(self.toxic_index.term_top[: len(self.idf)], 0)[ids], n)
         return (bound >= NEAR * 0.999 * norm)[owner]
 
     def votes(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Raw score of each passage and its nearest toxic example (-1 if none is near)."""
         raw, best = np.zeros(n), np.full(n, -1)
-        if self.index is None or not len(owner):
+        if self.toxic_index is None or not len(owner):
             return raw, best
-        return self.tally(*self.neighbours(owner, term, weight, n), n)
-
-    def neighbours(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All (passage, example, cosine) at NEAR or more. The cosine of a pair that shares fewer than SHARED words, though
-        the example and the known words of the passage allow more, counts in proportion."""
-        query, item, cosine = self.index.search(owner, term, weight, n, NEAR)
-        begins = np.searchsorted(owner, np.unique(query))
-        ends = np.searchsorted(owner, np.unique(query), "right")
-        own = {q: frozenset(term[a:b].tolist()) for q, a, b in zip(np.unique(query).tolist(), begins, ends, strict=True)}
-        part = [min(1.0, len(own[q] & self.words[i]) / min(SHARED, len(self.words[i]), len(own[q]))) for q, i in zip(query.tolist(), item.tolist(), strict=True)]
-        return query, item, cosine * np.array(part, np.float32)
+        met = np.zeros(n, bool)
+        met[self.toxic_index.blocks(owner, term, weight, n, NEAR)[0]] = True
+        mine = met[owner]
+        return self.tally(*self.index.nearest(owner[mine], term[mine], weight[mine], n, NEAR, VOTERS), n)
 
     def tally(self, query: np.ndarray, item: np.ndarray, cosine: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Raw scores and nearest toxic examples from neighbours."""
+        """Raw scores and nearest toxic examples from neighbours: the toxic share of their votes, times the nearest cosine."""
         raw, best = np.zeros(n), np.full(n, -1)
         if not len(query):
             return raw, best
         cosine = np.minimum(cosine, 1.0).astype(np.float64)
-        force = cosine**SHARP * self.weight[item]
-        total = np.bincount(query, force, n)
-        toxic = np.bincount(query, force * self.toxic_share[item], n)
-        order = np.lexsort((cosine * self.toxic_share[item], query))
+        toxic = np.bincount(query, cosine**SHARP * self.toxic[item], n)
+        benign = np.bincount(query, cosine**SHARP * self.benign[item], n)
+        is_toxic = self.toxic[item] > 0
+        query, item, cosine = query[is_toxic], item[is_toxic], cosine[is_toxic]
+        order = np.lexsort((cosine, query))
         last = order[np.flatnonzero(np.diff(query[order], append=-1))]
         nearest = np.zeros(n)
         nearest[query[last]] = cosine[last]
         best[query[last]] = item[last]
-        raw = np.where(total > 0, toxic / np.maximum(total, 1e-9), 0) * nearest
-        return raw, best
+        return toxic / (toxic + benign + PRIOR) * nearest, best
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
         """Share of toxic labels among fitted documents of a like raw score."""
@@ -197,7 +197,7 @@ class Model:
         score = np.zeros(len(texts))
         evidence: list[str | None] = [None] * len(texts)
         example: list[str | None] = [None] * len(texts)
-        if self.index is None or not len(owner):
+        if self.toxic_index is None or not len(owner):
             return self.calibrated(score), evidence, example
         mask = self.near(owner, ids, len(of))
         raw, best = self.votes(*self.weighted(owner[mask], ids[mask], len(of)), len(of))
@@ -207,16 +207,17 @@ class Model:
             if raw[p] > score[k]:
                 score[k] = raw[p]
                 evidence[k] = _BREAK.split(flats[k])[p - first[k]].strip()
-                example[k] = self.examples[best[p]]
+                example[k] = self.examples[int(best[p])]
         return self.calibrated(score), evidence, example
 
 
-def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Non-decreasing steps of mean y over x (pool adjacent violators)."""
+    weight = np.ones(len(x)) if weight is None else weight
     order = np.argsort(x, kind="stable")
     blocks: list[list[float]] = []
-    for a, b in zip(x[order], y[order], strict=True):
-        blocks.append([a, b, 1.0])
+    for a, b, w in zip(x[order], y[order], weight[order], strict=True):
+        blocks.append([a, b, w])
         while len(blocks) > 1 and (blocks[-2][1] >= blocks[-1][1] or blocks[-2][0] == blocks[-1][0]):
             a2, m2, n2 = blocks.pop()
             a1, m1, n1 = blocks[-1]
@@ -225,27 +226,29 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sample:
-    """Labelled documents and the words that set the toxic ones apart."""
+    """Labelled documents and their words. `benign_weight`: labelled benign documents that one in the sample stands for."""
 
-    def __init__(self, rows: list[tuple[str, float]]) -> None:
+    def __init__(self, rows: list[tuple[str, float]], benign_weight: float = 1.0) -> None:
         self.texts = [text for text, _ in rows]
         self.label = np.array([y for _, y in rows])
-        counts = {True: Counter(), False: Counter()}
-        word_of = {}
-        for text, y in rows:
-            own = set(pieces(folded(text)))
-            for p in own:
-                if p not in word_of:
-                    word_of[p] = plain_word(p) if p[0].isalnum() else None
-            counts[y > 0.5].update({word_of[p] for p in own} - {None})
-        n_toxic = int((self.label > 0.5).sum())
-        a, b = n_toxic + 1, len(rows) - n_toxic + 1
-        self.odds = {w: math.log((counts[True][w] + 0.5) / a) - math.log((counts[False][w] + 0.5) / b) for w in counts[True] | counts[False] if counts[True][w] + counts[False][w] > 1}
-        self.vocabulary = {w: i for i, w in enumerate(sorted(self.odds))}
+        self.weight = np.where(self.label > 0.5, 1.0, benign_weight)
+        words: set[str] = set()
+        for text in self.texts:
+            words.update(plain_word(p) or "" for p in set(pieces(folded(text))) if p[0].isalnum())
+        self.vocabulary = {w: i for i, w in enumerate(sorted(words - {""}))}
 
 
 def fit(sample: Sample, frequency: dict[str, int], n_documents: int) -> Model:
-    """Model of a sample, given the number of corpus documents with each word of its vocabulary."""
+    """Model of a sample, given the number of corpus documents with each word of its vocabulary.
+
+    Every passage of the labelled documents is an example with all its words; passages with the same words are one example
+    that holds their votes, one for each document. A document is labelled, not its passages, and most passages of a toxic
+    document are harmless. So the nearest examples of other documents are asked: a toxic vote stands if among them toxic
+    votes outweigh benign ones and the passage is, with a factor of SUPPORT, as well supported as the best one of its
+    document. In a document without a supported passage those with the least benign votes, if fewer than the toxic ones,
+    share its vote, which counts the less the more other documents have one: then it is more likely labelled wrongly.
+    Other toxic votes are withdrawn.
+    """
     model = Model()
     model.vocabulary = sample.vocabulary
     names = sorted(sample.vocabulary)
@@ -254,59 +257,88 @@ def fit(sample: Sample, frequency: dict[str, int], n_documents: int) -> Model:
     model.unknown = float(np.median(model.idf)) if len(names) else 1.0
     owner, ids, of, flats = model.read(sample.texts)
     n = len(of)
-    if not len(owner) or not len(names):
+    if not len(owner) or not (sample.label > 0.5).any():
         return model
     owner, term, weight = model.weighted(owner, ids, n)
-    odds = np.array([sample.odds[w] for w in names])
-    mean_odds = np.bincount(owner, odds[term] * model.idf[term], n) / np.maximum(np.bincount(owner, model.idf[term], n), 1e-9)
-    labels = sample.label[of]
-    # Passages with the same words are one example that carries their labels; a benign label on words that otherwise
-    # stand in toxic documents counts less, as it is often a wrong one.
     begins = np.searchsorted(owner, np.arange(n + 1))
-    first: dict[bytes, int] = {}
-    head = np.array([first.setdefault(term[begins[i] : begins[i + 1]].tobytes(), i) for i in range(n)])
-    trust = np.where((labels <= 0.5) & (mean_odds > EXCESS), DOUBT, 1.0)
-    count = np.bincount(head, trust, n)
-    share = np.bincount(head, trust * labels, n) / np.maximum(count, 1e-9)
-    seeds = np.unique(head[(labels > 0.5) & (mean_odds > EXCESS)])
-    if not len(seeds):
-        return model
     spans: list[str] = []
     for flat in flats:
         spans.extend(x.strip() for x in _BREAK.split(flat))
-
-    is_seed = np.isin(np.arange(n), seeds)
-    chosen_heads: list[int] = []
-
-    def build(chosen: np.ndarray) -> BlockMaxIndex:
-        order = np.array(sorted(chosen.tolist(), key=lambda i: spans[i]))
-        place = np.full(n, -1)
-        place[order] = np.arange(len(order))
-        # A toxic example is the words that set toxic documents apart, not what else its passage says.
-        mine = (place[owner] >= 0) & (~is_seed[owner] | (odds[term] > MARKING))
-        size = np.sqrt(np.bincount(owner[mine], weight[mine].astype(np.float64) ** 2, n))
-        model.toxic_share, model.weight = share[order], np.sqrt(count[order])
-        model.examples = [spans[i] for i in order]
-        chosen_heads[:] = order.tolist()
-        sets: list[set[int]] = [set() for _ in order]
-        for i, t in zip(place[owner][mine].tolist(), term[mine].tolist(), strict=True):
-            sets[i].add(t)
-        model.words = [frozenset(x) for x in sets]
-        return BlockMaxIndex(term[mine], place[owner][mine], weight[mine] / size[owner[mine]], len(names), len(order))
-
-    model.index = build(seeds)
-    benign = (labels <= 0.5) & (head == np.arange(n))
-    mine = benign[owner]
-    near = np.unique(model.index.search(owner[mine], term[mine], weight[mine], n, NEAR)[0])
-    model.index = build(np.union1d(seeds, near))
+    # Examples in the order of their texts, so that similar ones are neighbours in the index.
+    first: dict[bytes, int] = {}
+    example_of = np.full(n, -1)
+    heads: list[int] = []
+    for p in sorted(range(n), key=spans.__getitem__):
+        if begins[p + 1] > begins[p]:
+            key = term[begins[p] : begins[p + 1]].tobytes() + weight[begins[p] : begins[p + 1]].tobytes()
+            if key not in first:
+                first[key] = len(heads)
+                heads.append(p)
+            example_of[p] = first[key]
+    m = len(heads)
+    # One vote for each document that has the example; the only document of an example, or -1.
+    pairs = np.unique(np.column_stack([example_of, of])[example_of >= 0], axis=0)
+    is_toxic = sample.label[pairs[:, 1]] > 0.5
+    toxic = np.bincount(pairs[is_toxic, 0], minlength=m).astype(float)
+    benign = np.bincount(pairs[~is_toxic, 0], sample.weight[pairs[~is_toxic, 1]], m)
+    single = sample.weight.max()
+    sole = np.where(np.bincount(pairs[:, 0], minlength=m) == 1, pairs[np.searchsorted(pairs[:, 0], np.arange(m)), 1], -1)
+
+    def rows_of(examples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of examples, terms and weights of their words."""
+        p = np.array(heads)[examples]
+        size = begins[p + 1] - begins[p]
+        at = np.repeat(begins[p] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return np.repeat(np.arange(len(examples)), size), term[at], weight[at]
+
+    own, words, force = rows_of(np.arange(m))
+    model.index = BlockMaxIndex(words, own, force, len(names), m)
+
+    def asked(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Toxic and benign votes of the nearest examples of other documents, for some examples."""
+        query, item, cosine = model.index.nearest(*rows_of(some), len(some), ALIKE, VOTERS)
+        other = (item == some[query]) | (sole[item] < 0) | (sole[item] != sole[some[query]])
+        query, item, cosine = query[other], item[other], cosine[other]
+        vote, own = np.minimum(cosine, 1.0) ** SHARP, item == some[query]
+        left = [np.maximum(side[item] - own * one, 0) for side, one in ((toxic, 1), (benign, single))]
+        return np.bincount(query, vote * left[0], len(some)), np.bincount(query, vote * left[1], len(some))
+
+    for_, against = np.zeros(m), benign.copy()
+    some = np.flatnonzero((toxic > 0) & (benign <= np.maximum(toxic, single)))  # the others' own words are mostly benign already
+    for_[some], against[some] = asked(some)
+    support = np.where(for_ > against, for_, 0)
+    example, document = pairs[is_toxic].T
+    best = np.zeros(len(sample.label))
+    np.maximum.at(best, document, support[example])
+    lowest = np.full(len(sample.label), np.inf)
+    np.minimum.at(lowest, document, against[example])
+    lone = (best[document] == 0) & (against[example] <= np.minimum(lowest[document], 1 + for_[example]))
+    stands = (support[example] > 0) & (support[example] >= SUPPORT * best[document])
+    open_ = (best[np.unique(document)] == 0).mean()  # share of toxic documents without a supported passage
+    model.toxic = np.bincount(example, stands + open_ * lone / np.maximum(np.bincount(document, lone, len(sample.label))[document], 1), m)
+    kept = np.flatnonzero(model.toxic > 0)
+    model.examples = {i: spans[heads[i]] for i in kept.tolist()}
+    own, words, force = rows_of(kept)
+    model.toxic_index = BlockMaxIndex(words, own, force, len(names), len(kept))
+    # Benign votes that stand among toxic ones are withdrawn likewise.
+    own, words, force = rows_of(np.unique(example[stands]))
+    supported = BlockMaxIndex(words, own, force, len(names), own[-1] + 1 if len(own) else 0)
+    some = np.flatnonzero(benign > 0)
+    some = some[np.unique(supported.blocks(*rows_of(some), len(some), ALIKE)[0])]
+    toxic = model.toxic
+    for_, against = asked(some)
+    model.benign = benign.copy()
+    model.benign[some[for_ * SUPPORT > against]] = 0
     # Calibrated on the sample without each document's own examples, as a new document has none.
-    query, item, cosine = model.neighbours(owner, term, weight, n)
-    at = np.array(chosen_heads)[item]
-    apart = (np.bincount(head, minlength=n)[at] > 1) | (of[at] != of[query])
-    raw, _ = model.tally(query[apart], item[apart], cosine[apart], n)
+    met = np.zeros(n, bool)
+    met[model.toxic_index.blocks(owner, term, weight, n, NEAR)[0]] = True
+    mine = met[owner]
+    query, item, cosine = model.index.nearest(owner[mine], term[mine], weight[mine], n, NEAR, VOTERS)
+    other = sole[item] != of[query]
+    raw, _ = model.tally(query[other], item[other], cosine[other], n)
     worst = np.zeros(len(sample.label))
     np.maximum.at(worst, of, raw)
-    model.steps = _isotonic(worst, sample.label)
+    model.steps = _isotonic(worst, sample.label, sample.weight)
     return model
 
 
@@ -335,18 +367,22 @@ def corpus_frequency(documents: DataFrame, vocabulary: dict[str, int], text: str
     return found, found.pop("", 0)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE, key: str = "doc_id") -> list[tuple[str, float]]:
-    """At most `most` texts of each class with their label: the mean of a document's labels, above 0.5 toxic."""
-    mean = labels.where("toxic is not null").groupBy(key).agg(F.avg("toxic").alias("label"))
-    ranked = [mean.where(cond).orderBy(F.xxhash64(key), key).limit(most) for cond in ("label > 0.5", "label < 0.5")]
+def labelled_sample(documents: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE, key: str = "doc_id") -> Sample:
+    """At most `most` texts (toxic, benign) with their label: the mean of a document's labels, above 0.5 toxic, below benign.
+
+    The chosen keys, bounded by `most`, are broadcast; only their texts reach the driver.
+    """
+    mean = labels.where("toxic is not null").groupBy(key).agg(F.avg("toxic").alias("label")).where("label <> 0.5")
+    n_toxic, n = mean.agg(F.count_if(F.col("label") > 0.5), F.count("*")).first()
+    ranked = [mean.where(cond).orderBy(F.xxhash64(key), key).limit(k) for cond, k in zip(("label > 0.5", "label < 0.5"), most, strict=True)]
     chosen = ranked[0].unionByName(ranked[1])
     rows = documents.where("text is not null").select(key, "text").join(F.broadcast(chosen), key).dropDuplicates([key]).orderBy(key).collect()
-    return [(r["text"], float(r["label"])) for r in rows]
+    return Sample([(r["text"], float(r["label"])) for r in rows], max(1.0, (n - n_toxic) / most[1]))
 
 
 def trained(documents: DataFrame, labels: DataFrame) -> Model:
     """Model fitted on a bounded sample of the labels and on word counts of the whole corpus."""
-    sample = Sample(labelled_sample(documents, labels))
+    sample = labelled_sample(documents, labels)
     return fit(sample, *corpus_frequency(documents, sample.vocabulary))
 
 

@@ -52,3 +52,10 @@ def test_pairs_equal_all_pairs(spark):
 
 def test_long_text():
     assert len(fold.looks("Ａ" * 200_000)) == 200_000
+
+
+def test_links_and_escapes_read_as_shown():
+    shown = "see the table of steel here"
+    for text in ("see the [table](https://x.y/z_1) of steel here", 'see the [table](a/b "title") of steel here', "see the [[Hardness of alloys|table]] of steel here", "see the [https://x.y/z table] of steel here", "see the \\href{https://x.y}{table} of steel here", "see the &amp;lt;b&amp;gt;table&amp;lt;/b&amp;gt; of steel here"):
+        assert fold.words(fold.reader_text(text))[0] == shown.split(), text
+    assert fold.words(fold.reader_text("Gr&amp;amp;ouml;&amp;szlig;e"))[0] == ["grösse"]
