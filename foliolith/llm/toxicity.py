@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,10 @@ from foliolith.llm.fold import reader_text
 #: Most labelled documents, toxic and benign, that are fitted on: those with the lowest hash of their id.
 SAMPLE = (1_000, 2_000)
 #: Least cosine of a neighbour, power of the cosine in its vote, nearest examples that vote.
-NEAR, SHARP, VOTERS = 0.4, 4, 16
+NEAR, SHARP, VOTERS = 0.45, 4, 16
 #: Least cosine of the examples that are asked whether a vote stands.
 ALIKE = 0.6
-#: Benign vote that every passage begins with.
+#: Benign vote that every passage begins with; examples need more toxic votes to be near at all.
 PRIOR = 0.1
 #: Least support of a toxic vote, as a share of the best supported one of its document.
 SUPPORT = 0.25
@@ -51,14 +52,38 @@ _CODE = re.compile(r"(?:[^\W\d_]{1,2}\d+)+[^\W\d_]?|\d+[^\W\d_]?")
 SKIP, BORDER, MEMO = -2, -3, 400_000
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    letter = np.zeros(0x110000, bool)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for found in re.finditer(r"[^\W\d_]+", every):
+        letter[ord(found[0][0]) : ord(found[0][-1]) + 1] = True
+    letter[0xD800:0xE000] = False
+    return letter
+
+
+def _stretched(flat: str) -> tuple[bool, bool]:
+    """Whether a text may have spaced-out letters (four single ones, a sign between each two), and a letter thrice in a row."""
+    codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = np.zeros(len(codes) + 2, bool)
+    letter[1:-1] = _letters()[codes]
+    single = letter[1:-1] & ~letter[:-2] & ~letter[2:]
+    pairs = single[:-2] & single[2:]
+    same = (codes[1:] == codes[:-1]) & letter[2:-1]
+    return bool((pairs[:-4] & pairs[4:]).any()), bool((same[:-1] & same[1:]).any())
+
+
 def folded(text: str) -> str:
     """Text as read, with wrapped words, spaced-out and drawn-out letters put right."""
     flat = reader_text(text)
     if "\x02" in flat:
         flat = flat.replace("\x02", "")
-    if _SPACED.search(flat):
+    spaced, long = _stretched(flat)
+    if spaced:
         flat = _SPACED.sub(lambda m: re.sub(r"[ .\-*_]", "", m[0]), flat)
-    if _LONG.search(flat):
+        long = _stretched(flat)[1]
+    if long:
         flat = _LONG.sub(r"\1", flat)
     if "@" in flat or "$" in flat:
         flat = _SIGNED.sub(lambda m: m[0].translate(LEET), flat)
@@ -178,7 +203,7 @@ class Model:
         cosine = np.minimum(cosine, 1.0).astype(np.float64)
         toxic = np.bincount(query, cosine**SHARP * self.toxic[item], n)
         benign = np.bincount(query, cosine**SHARP * self.benign[item], n)
-        is_toxic = self.toxic[item] > 0
+        is_toxic = self.toxic[item] > PRIOR
         query, item, cosine = query[is_toxic], item[is_toxic], cosine[is_toxic]
         order = np.lexsort((cosine, query))
         last = order[np.flatnonzero(np.diff(query[order], append=-1))]
@@ -316,7 +341,7 @@ def fit(sample: Sample, frequency: dict[str, int], n_documents: int) -> Model:
     stands = (support[example] > 0) & (support[example] >= SUPPORT * best[document])
     open_ = (best[np.unique(document)] == 0).mean()  # share of toxic documents without a supported passage
     model.toxic = np.bincount(example, stands + open_ * lone / np.maximum(np.bincount(document, lone, len(sample.label))[document], 1), m)
-    kept = np.flatnonzero(model.toxic > 0)
+    kept = np.flatnonzero(model.toxic > PRIOR)
     model.examples = {i: spans[heads[i]] for i in kept.tolist()}
     own, words, force = rows_of(kept)
     model.toxic_index = BlockMaxIndex(words, own, force, len(names), len(kept))
