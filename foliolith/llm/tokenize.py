@@ -86,10 +86,20 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return out[0], out[1]
 
 
+def spans_equal(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span of `a` are those of the span of `b` of the same length."""
+    which = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    ends = np.cumsum(lengths)
+    step = np.arange(len(which)) - np.repeat(ends - lengths, lengths)
+    equal = np.ones(len(lengths), bool)
+    equal[which[a[a_at[which] + step] != b[b_at[which] + step]]] = False
+    return equal
+
+
 class PerfectHash:
     """Minimal perfect hash (hash and displace) of a fixed set of byte strings, looked up in vectors.
 
-    Every slot holds one key's second hash and length, so strings outside the set are told apart.
+    Every slot holds one key's second hash, length and bytes; only a string with the same bytes is a hit.
     """
 
     def __init__(self, keys: list[bytes], values: list[int]) -> None:
@@ -107,6 +117,7 @@ class PerfectHash:
         self.print = np.zeros(n, np.uint64)
         self.length = np.full(n, -1, np.int32)
         self.value = np.zeros(n, np.int32)
+        self.blob, self.place = blob, np.zeros(n, np.int64)
         value, length = np.array(values, np.int32), (ends - starts).astype(np.int32)
         for b in np.argsort(-(cuts[1:] - cuts[:-1]), kind="stable"):
             members = order[cuts[b] : cuts[b + 1]]
@@ -125,13 +136,17 @@ class PerfectHash:
             self.shift[b] = shifts[found]
             at = slots[found]
             taken[at] = True
-            self.print[at], self.length[at], self.value[at] = two[members], length[members], value[members]
+            self.print[at], self.length[at], self.value[at], self.place[at] = two[members], length[members], value[members], starts[members]
 
-    def lookup(self, one: np.ndarray, two: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Value of each key, -1 for strings outside the set."""
+    def lookup(self, one: np.ndarray, two: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Value of each span of `data`, given its hashes; -1 for strings outside the set."""
         shift = self.shift[(one % np.uint64(self.buckets)).astype(np.int64)]
         slot = (_mix(one + shift * np.uint64(BASE_B)) % np.uint64(self.n)).astype(np.int64)
-        return np.where((self.print[slot] == two) & (self.length[slot] == lengths), self.value[slot], -1)
+        near = np.flatnonzero((self.print[slot] == two) & (self.length[slot] == lengths))
+        near = near[spans_equal(data, starts[near], self.blob, self.place[slot[near]], lengths[near])]
+        found = np.full(len(slot), -1, np.int32)
+        found[near] = self.value[slot[near]]
+        return found
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -245,10 +260,12 @@ class Encoder:
         full = text_at[:-1][text_at[1:] > text_at[:-1]]
         starts = byte_at[np.flatnonzero(piece_starts(codes, np.searchsorted(byte_at, full), self.classes))]
         ends = np.append(starts[1:], len(data))
-        one, two = span_hashes(np.frombuffer(data, np.uint8), starts, ends)
+        raw = np.frombuffer(data, np.uint8)
+        one, two = span_hashes(raw, starts, ends)
         _, example, piece = np.unique(one ^ (two << np.uint64(1)), return_index=True, return_inverse=True)
+        example, piece = self._apart(data, raw, starts, ends, example, piece)
         lengths = (ends - starts)[example].astype(np.int32)
-        ids = self.hash.lookup(one[example], two[example], lengths)
+        ids = self.hash.lookup(one[example], two[example], raw, starts[example], lengths)
         counts = np.ones(len(example), np.int64)
         missing = np.flatnonzero(ids < 0)
         merged = [self._miss(data[starts[e] : ends[e]]) for e in example[missing]]
@@ -266,6 +283,23 @@ class Encoder:
         out = flat[np.arange(out_at[-1]) - np.repeat(out_at[:-1] - offset[piece], each)]
         return out, np.diff(out_at[np.searchsorted(starts, text_at)])
 
+    @staticmethod
+    def _apart(data: bytes, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, example: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Groups of pre-tokens with equal hashes, with those of other bytes than their example's in groups of their own."""
+        head, lengths = example[piece], ends - starts
+        same = lengths[head] == lengths
+        some = np.flatnonzero(same & (head != np.arange(len(head))))
+        same[some] = spans_equal(raw, starts[some], raw, starts[head[some]], lengths[some])
+        others: dict[bytes, int] = {}
+        more: list[int] = []
+        for k in np.flatnonzero(~same).tolist():
+            text = data[starts[k] : ends[k]]
+            if text not in others:
+                others[text] = len(example) + len(more)
+                more.append(k)
+            piece[k] = others[text]
+        return np.append(example, more).astype(np.int64), piece
+
     def encode(self, text: str) -> list[int]:
         """Ids of one text."""
         return self.encode_chunk([text.encode()])[0].tolist()

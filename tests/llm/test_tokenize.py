@@ -57,7 +57,7 @@ def test_perfect_hash_is_minimal_and_knows_strangers():
         ends = np.cumsum([len(k) for k in some])
         starts = ends - np.array([len(k) for k in some])
         one, two = K.span_hashes(blob, starts, ends)
-        assert table.lookup(one, two, (ends - starts).astype(np.int32)).tolist() == want
+        assert table.lookup(one, two, blob, starts, (ends - starts).astype(np.int32)).tolist() == want
     assert sorted(table.value.tolist()) == list(range(3000))
 
 
@@ -82,3 +82,18 @@ def test_frame(spark, encoder):
     found = sorted(((r[0], list(r[1])) for r in K.token_ids(df, encoder).collect()), key=str)
     assert found == sorted([(1, encoder.encode("a b"))] * 2 + [(2, []), (None, [])], key=str)
     assert K.token_ids(df.limit(0), encoder).count() == 0
+
+
+@pytest.mark.parametrize("size", [512, 1024, 2048, 4096])
+def test_words_of_equal_hashes_stay_apart(encoder, reference, size):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"{other} {word}", word]
+    assert K.encode_column(pa.array(texts), encoder).to_pylist() == reference(texts)
+
+
+def test_hashes_decide_nothing_alone(encoder, reference, monkeypatch):
+    real = K.span_hashes
+    monkeypatch.setattr(K, "span_hashes", lambda *a: tuple(x % 7 for x in real(*a)))
+    texts = ["the cat sat on the mat and ran", "a b c d e f g h the 1 2 3 of of"]
+    assert K.encode_column(pa.array(texts), encoder).to_pylist() == reference(texts)
