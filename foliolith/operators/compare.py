@@ -92,39 +92,62 @@ def differences(left: DataFrame, right: DataFrame, key: Column, order: Mapping[s
     rows collapse; an empty side makes every key of the other one missing; further columns are ignored.
 
     One shuffle: map-side max_by keeps a row per key and side before it, so a key holding a third of all rows costs one
-    row per task. Within a partition sorted by key, each key gets the next ordinal; bitmaps and aligned columns of one
-    Arrow batch at a time bound the memory.
+    row per task. The rows of either side then stand on their own in the partition sorted by key. Each key gets the next
+    ordinal of the partition; from the ordinals of a side's rows comes its presence bitmap. AND-NOT of the bitmaps gives
+    the missing keys, and their intersection picks the rows of both sides that are compared column by column. A container
+    of ordinals at a time bounds the memory.
     """
     names = list(fields)
 
     def side(df: DataFrame, which: str) -> DataFrame:
         return df.select(key.alias(name), F.lit(which).alias("side"), F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order[which]))).alias("rank"), F.struct(*(form.cast("string").alias(n) for n, form in fields.items())).alias("row")).where(F.col(name).isNotNull())
 
-    a, b = side(left, "left"), side(right, "right")
-    both = a.unionByName(b)
+    both = side(left, "left").unionByName(side(right, "right"))
     newest = {s: F.expr(f"max_by(row, rank) FILTER (WHERE side = '{s}')").alias(s) for s in ("left", "right")}
-    paired = both.groupBy(name).agg(newest["left"], newest["right"])
-    flat = paired.select(
-        name,
-        F.col("left").isNotNull().alias("has_left"),
-        F.col("right").isNotNull().alias("has_right"),
-        *(F.col(f"left.{n}").alias(f"l_{i}") for i, n in enumerate(names)),
-        *(F.col(f"right.{n}").alias(f"r_{i}") for i, n in enumerate(names)),
-    ).sortWithinPartitions(name)
+    sides = F.array_compact(F.array(*(F.when(F.col(s).isNotNull(), F.struct(F.lit(s == "left").alias("is_left"), f"{s}.*")) for s in ("left", "right"))))
+    rows = both.groupBy(name).agg(*newest.values()).select(name, F.inline(sides)).sortWithinPartitions(name)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0)
-            mine, theirs = (PresenceBitmap(np.flatnonzero(np.asarray(batch.column(i)))) for i in (1, 2))
-            found = [((mine - theirs).ordinals(), missing[0]), ((theirs - mine).ordinals(), missing[1])]
+        for part in _containers(batches):
+            keys, is_left = part.column(0), np.asarray(part.column(1))
+            opens = np.append(True, np.asarray(pc.not_equal(keys[1:], keys[:-1])))
+            ordinal, first = np.cumsum(opens) - 1, np.flatnonzero(opens)
+            mine, theirs = PresenceBitmap(ordinal[is_left]), PresenceBitmap(ordinal[~is_left])
             common = (mine & theirs).ordinals()
-            at = pa.array(common)
-            for i, n in enumerate(names):
-                x, y = batch.column(3 + i).take(at), batch.column(3 + len(names) + i).take(at)
+            at = [pa.array(np.flatnonzero(mask)[np.searchsorted(ordinal[mask], common)]) for mask in (is_left, ~is_left)]
+            found = [((mine - theirs).ordinals(), missing[0]), ((theirs - mine).ordinals(), missing[1])]
+            for i, n in enumerate(names, 2):
+                x, y = (part.column(i).take(a) for a in at)
                 equal = pc.if_else(pc.and_(x.is_valid(), y.is_valid()), pc.fill_null(pc.equal(x, y), False), pc.and_(x.is_null(), y.is_null()))
                 found.append((common[~np.asarray(equal)], n))
             ordinals = np.concatenate([f[0] for f in found])
             kind = np.repeat(np.array([f[1] for f in found], object), [len(f[0]) for f in found])
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(ordinals)), pa.array(kind, pa.string())], [name, "difference"])
-
-    return flat.mapInArrow(compare, f"{name} string, difference string")
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(first[ordinals])), pa.array(kind, pa.string())], [name, "difference"])
+
+    return rows.mapInArrow(compare, f"{name} string, difference string")
+
+
+def _containers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first column in parts of about CONTAINER rows; the rows of a key (two at most) stay together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CONTAINER:
+            rows = joined()
+            keys = rows.column(0)
+            cut = rows.num_rows - 1
+            while cut and keys[cut - 1] == keys[cut]:
+                cut -= 1
+            if cut:
+                yield rows.slice(0, cut)
+            held, size = [rows.slice(cut)], rows.num_rows - cut
+    if held:
+        yield joined()
