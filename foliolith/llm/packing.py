@@ -3,20 +3,23 @@
 Items of a group are dealt to partitions of bounded size. Each partition is packed by best-fit decreasing, and
 dual-feasible functions give a lower bound of its containers. Where a partition needs more than its bound, the items of
 its containers with room go to a common pool of the group, are dealt anew and packed again; a new packing is kept only
-if it needs fewer containers.
+if it needs fewer containers. Rounds go on until one saves nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items packed together at most (on average, by hash); rounds of exchange; share of a container that counts as room.
-PART_ITEMS, ROUNDS, ROOM = 3_000, 2, 0.02
+from foliolith.runtime import cut
+
+#: Items packed together at most (on average, by hash); share of a container that counts as room.
+PART_ITEMS, ROOM = 3_000, 0.02
 #: Values of k tried in the family of rounding dual-feasible functions.
 DUAL_K = range(1, 13)
 
@@ -100,8 +103,8 @@ def packed(items: DataFrame, group: str, dims: Sequence[str], capacity: Sequence
     rows = items.select(group, "item", *clean)
     pieces = F.greatest(F.lit(1), *(F.ceil(F.col(d) / F.lit(c)) for d, c in zip(dims, capacity, strict=True))).cast("int")
     rows = rows.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(1), F.col("pieces"))))
-    cut = [(F.floor(F.col(d) * F.col("piece") / F.col("pieces")) - F.floor(F.col(d) * (F.col("piece") - 1) / F.col("pieces"))).cast("bigint").alias(d) for d in dims]
-    rows = rows.select(group, "item", "piece", "pieces", *cut).withColumn("batch", F.lit(None).cast("string"))
+    share = [(F.floor(F.col(d) * F.col("piece") / F.col("pieces")) - F.floor(F.col(d) * (F.col("piece") - 1) / F.col("pieces"))).cast("bigint").alias(d) for d in dims]
+    rows = rows.select(group, "item", "piece", "pieces", *share).withColumn("batch", F.lit(None).cast("string"))
     names = [group, "item", "piece", "pieces", *dims, "batch"]
     schema = f"{group} {items.schema[group].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, piece int, pieces int, " + ", ".join(f"{d} bigint" for d in dims) + ", batch string, again boolean"
     caps = [*capacity, most]
@@ -120,17 +123,17 @@ def packed(items: DataFrame, group: str, dims: Sequence[str], capacity: Sequence
         return run
 
     done: DataFrame | None = None
-    for turn in range(ROUNDS + 1):
-        now = _deal(rows, group, turn).groupBy(group, "part").applyInPandas(repack(turn), schema)
-        if turn < ROUNDS:
-            from foliolith.runtime import cut as cut_lineage
-
-            now = cut_lineage(now)
-            kept, rows = now.where("not again").drop("again"), now.where("again").drop("again")
-        else:
-            kept = now.drop("again")
-        done = kept if done is None else done.unionByName(kept)
-    return done
+    left: int | None = None
+    for turn in count():
+        now = cut(_deal(rows, group, turn).groupBy(group, "part").applyInPandas(repack(turn), schema))
+        used, open_ = now.agg(F.countDistinct(F.struct(F.coalesce(group, F.lit("")), "batch")), F.count_if("again")).first()
+        last = not open_ or (left is not None and used >= left)
+        kept = now.where("not again") if not last else now if left is None or used < left else rows
+        done = kept.select(*names) if done is None else done.unionByName(kept.select(*names))
+        if last:
+            return done
+        rows = now.where("again").drop("again")
+        left = rows.agg(F.countDistinct(F.struct(F.coalesce(group, F.lit("")), "batch"))).first()[0]
 
 
 def counting_rows(queue: DataFrame) -> DataFrame:

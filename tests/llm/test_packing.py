@@ -67,3 +67,14 @@ def test_large_run_is_split_and_repacked(spark, monkeypatch):
     for c in P.certificates(batches).collect():
         assert c["lower_bound"] <= c["batches"] <= c["lower_bound"] * 1.08 + 1
     assert batches.groupBy("batch").agg({"run_id": "min"}).count() == batches.select("batch", "run_id").distinct().count()
+
+
+def test_rounds_end_and_hold_every_item(spark, monkeypatch):
+    monkeypatch.setattr(P, "PART_ITEMS", 7)
+    items = spark.createDataFrame([(f"g{i % 2}", str(i), 1 + i * 7 % 9) for i in range(150)], "g string, item string, w int")
+    rows = P.packed(items, "g", ["w"], [10], 10).collect()
+    loads = {}
+    for r in rows:
+        loads[r["g"], r["batch"]] = loads.get((r["g"], r["batch"]), 0) + r["w"]
+    assert len(rows) == 150 == len({r["item"] for r in rows}) and max(loads.values()) <= 10
+    assert len(loads) <= sum(1 + i * 7 % 9 for i in range(150)) / 10 * 1.25
