@@ -11,9 +11,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters of other scripts drawn like Latin ones, each above its Latin twin. Fixed values.
-LOOK_ALIKE = "АВЕЅІЈКМНОРСТУХҮԌԚԜ" + "аеѕіјорсухһԁԛԝ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "ο"
-LATIN_TWIN = "ABESIJKMHOPCTYXYGQW" + "aesijopcyxhdqw" + "ABEZHIKMNOPTYX" + "o"
+#: Letters of other scripts drawn like Latin ones, each above its Latin twin, by script. Fixed values.
+CYRILLIC_LIKE = "АВЕЅІЈКМНОРСТУХҮԌԚԜӀѴ" + "аеѕіјорсухһԁԛԝӏѵ"
+CYRILLIC_TWIN = "ABESIJKMHOPCTYXYGQWIV" + "aesijopcyxhdqwlv"
+GREEK_LIKE, GREEK_TWIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ" + "οϲϳ", "ABEZHIKMNOPTYXCJ" + "ocj"
+ARMENIAN_LIKE, ARMENIAN_TWIN = "ՕՍ" + "օսոհ", "OU" + "ounh"
+CHEROKEE_LIKE, CHEROKEE_TWIN = "ᎪᎠᎡᎢᏔᎷᎻᏀᏃᏢᏙᎫᎬᏞᏟᏚᏦᏴ", "ADRTWMHGZPVJELCSKB"
+LOOK_ALIKE = CYRILLIC_LIKE + GREEK_LIKE + ARMENIAN_LIKE + CHEROKEE_LIKE
+LATIN_TWIN = CYRILLIC_TWIN + GREEK_TWIN + ARMENIAN_TWIN + CHEROKEE_TWIN
 #: Hyphens drawn like the ASCII one. Fixed values.
 HYPHENS = "‐‑"
 #: Default-ignorable code points (nothing is drawn for them) as inclusive ranges. Fixed values.
@@ -26,6 +31,8 @@ IGNORABLE = (
 SAME_LOOKS = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<font>")
 
 _TWIN = {ord(a): ord(b) for a, b in zip(LOOK_ALIKE, LATIN_TWIN, strict=True)} | {ord(h): 0x2D for h in HYPHENS}
+#: Back to Cyrillic, the first letter of those with one twin.
+_CYRILLIC = {ord(b): ord(a) for a, b in reversed(list(zip(CYRILLIC_LIKE, CYRILLIC_TWIN, strict=True)))}
 
 
 def ignorable(code: int) -> bool:
@@ -76,8 +83,8 @@ class _Plain(dict):
         return out
 
 
-_LOOKS, _PLAIN, _TWINNED, _LINES = _Looks(), _Plain(False), _Plain(True), _Plain(True, True)
-_OWN_SCRIPT = re.compile("[Ѐ-ӿͰ-Ͽ]")
+_LOOKS, _PLAIN, _LINES = _Looks(), _Plain(False), _Plain(True, True)
+_OWN_WORD = re.compile(r"[^\W_]*[\u0400-\u052f][^\W_]*")
 _PRINTABLE = re.compile(r"[!-~](?:[ -~]*[!-~])?\Z")
 
 
@@ -92,18 +99,21 @@ def looks(text: str | None) -> str | None:
 
 
 def one_form(text: str | None) -> str | None:
-    """Compatibility-composed, fully case-folded text with plain blanks, without ignorable signs; look-alike letters of
-    other scripts become Latin unless the text is really written in that script. Null stays null.
+    """Compatibility-composed, fully case-folded text with single plain blanks, without ignorable signs. It is made from
+    `looks`, so texts that look the same have one form: look-alike letters are Latin, but in words with a letter that only
+    Cyrillic has they are Cyrillic. Null stays null.
     """
     if text is None:
         return None
-    if not text.isascii():
-        own = any(ord(c) not in _TWIN and ord(c.casefold()[0]) not in _TWIN for c in _OWN_SCRIPT.findall(text) if c.isalpha() and c not in "μαβγδεηθλνπρστφχψωΔΩΣΦ")
-        table = _PLAIN if own else _TWINNED
-        text = unicodedata.normalize("NFKC", text.translate(table))
-        text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text.casefold()).translate(table))
-        return " ".join(text.split(" ")).strip(" ")
-    return text.translate(_PLAIN).casefold().strip(" ")
+    if text.isascii():
+        return " ".join(text.translate(_PLAIN).casefold().split())
+    while True:
+        form = unicodedata.normalize("NFKC", looks(unicodedata.normalize("NFKC", looks(text))))
+        form = _OWN_WORD.sub(lambda m: m[0].translate(_CYRILLIC), form)
+        form = " ".join(unicodedata.normalize("NFKC", form.casefold()).split())
+        if form == text:
+            return form
+        text = form
 
 
 def _by_distinct(f):  # noqa: ANN001, ANN202

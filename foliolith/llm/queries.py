@@ -41,6 +41,13 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.unionByName(forms(table(spark, sf_dir, "text_observations"), "raw_text", "obs_id", "raw_text"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliolith.llm.alike import alike_classes
+
+    captions = alike_classes(table(spark, sf_dir, "figure_captions"), "caption", ["manual", "figure_id"], "caption_id", "caption")
+    return captions.unionByName(alike_classes(table(spark, sf_dir, "text_observations"), "raw_text", ["source_id"], "obs_id", "raw_text"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliolith.llm.packing import oversize, review_batches
 
@@ -105,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_text": p1_text,
     "p2_found": p2_found,
     "p2_forms": p2_forms,
+    "p2_classes": p2_classes,
     "p5_found": p5_found,
     "p5_batches": p5_batches,
     "p5_certificates": p5_certificates,

@@ -59,3 +59,30 @@ def test_links_and_escapes_read_as_shown():
     for text in ("see the [table](https://x.y/z_1) of steel here", 'see the [table](a/b "title") of steel here', "see the [[Hardness of alloys|table]] of steel here", "see the [https://x.y/z table] of steel here", "see the \\href{https://x.y}{table} of steel here", "see the &amp;lt;b&amp;gt;table&amp;lt;/b&amp;gt; of steel here"):
         assert fold.words(fold.reader_text(text))[0] == shown.split(), text
     assert fold.words(fold.reader_text("Gr&amp;amp;ouml;&amp;szlig;e"))[0] == ["grösse"]
+
+
+@pytest.mark.parametrize("a,b", [("Сталь А36", "Сталь A36"), ("Cталь", "Сталь"), ("СТАЛЬ В", "CTAЛЬ B"), ("a  b", "a b"), ("Ꭺ1", "A1"), ("օ", "o")])
+def test_one_form_of_mixed_scripts(a, b):
+    assert fold.one_form(a) == fold.one_form(b)
+
+
+def test_equal_looks_have_one_form():
+    r = random.Random(3)
+    signs = list("AaВвСсКкМмТтOo12 ²é") + ["e\u0301", "\u200b", "Ａ", "ﬁ", "Ω", "μ", "Ѵ"]
+    texts = {"".join(r.choices(signs, k=r.randint(1, 4))) for _ in range(20_000)}
+    form = {}
+    for t in texts:
+        assert form.setdefault(fold.looks(t), fold.one_form(t)) == fold.one_form(t), t
+
+
+def test_classes_hold_the_links_of_the_pairs(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice(["s", "t", None]), r.choice(["A1", "Ａ1", "А1", "a1", "", "\u200b", None])) for i in range(90)]
+    df = spark.createDataFrame(rows, "id bigint, g string, text string")
+    links = {}
+    for p in alike.alike_pairs(df, "f", ["g"], "id", "text").collect():
+        for i in (p["id_a"], p["id_b"]):
+            links[i] = links.get(i, 0) + 1
+    classes = alike.alike_classes(df, "f", ["g"], "id", "text").collect()
+    assert len(classes) == sum(g is not None and t is not None for _, g, t in rows)
+    assert all(c["links"] == links.get(c["id"], 0) and c["class_id"] <= c["id"] for c in classes)
