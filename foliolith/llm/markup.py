@@ -11,7 +11,6 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from html import unescape
-from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -28,6 +27,8 @@ ELEMENTS = frozenset(
 )
 BLOCKS = frozenset("p div br hr ul ol dl dt dd table thead tbody tfoot caption blockquote section article header footer main nav figure figcaption title h1 h2 h3 h4 h5 h6 li tr pre".split())
 SILENT = frozenset(("script", "style", "template"))
+#: Tags that aren't counted against the text of their line: structure to keep, and emphasis.
+ROWS = frozenset("table thead tbody tfoot colgroup col caption tr td th li h1 h2 h3 h4 h5 h6 p br b i u em strong sup sub img".split())
 #: LaTeX commands that count without braces. Fixed values.
 COMMANDS = frozenset(
     """alpha beta gamma delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi pi rho varrho sigma tau
@@ -37,8 +38,8 @@ COMMANDS = frozenset(
     chapter paragraph caption footnote mathrm mathbf text SI si begin end circ degree""".split()
 )
 _MATH_ENV = r"equation|align|gather|multline|eqnarray|displaymath|math"
-#: Lines of HTML from which content regions are looked for; width of the Gaussian in lines.
-REGION_LINES, SIGMA = 12, 1.5
+#: References that stand for signs which open no tag and no reference; width of the Gaussian in lines.
+LESS, AMPERSAND, SIGMA = "&zzless;", "&zzand;", 1.5
 
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n`]*\n(.*?)(?:^[ \t]*\1[`~]*[ \t]*$|\Z)", re.S | re.M)
 _PRE = re.compile(r"<(pre|code|tt|samp|kbd)\b[^<>]*>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
@@ -78,7 +79,7 @@ _M_WEAK = re.compile(r"(?<![\w*])\*(?=[^\s*])([^\n*]*[^\s*])\*(?![\w*])|(?<![\w_
 _M_STRIKE = re.compile(r"~~(?=[^\s~])([^\n]*?[^\s~])~~")
 _M_QUOTE = re.compile(r"^ {0,3}>(?: |$)[ \t]*", re.M)
 _M_LIST = re.compile(r"^([ \t]*)([-*+])[ \t]+(?=\S)", re.M)
-_HELD = re.compile("[\ue100-\ueffd]")
+_OWN_SIGNS = re.compile("[\ue100-\ueffd]+")
 #: Pieces that have a sign of their own; later ones have a number in signs between \ueffc and \ueffd.
 SINGLE = 0xEFC
 _PIECE_SIGNS = re.compile("[\ue100-\ueffb]|\ueffc[\ue100-\ueffb]+\ueffd")
@@ -94,21 +95,21 @@ class _Events(HTMLParser):
         self.lists: list[int | None] = []
         self.cells = 0
         self.ratio: dict[int, list[int]] = {}
+        self.kinds: set[str] = set()
 
-    def _note(self, text: int, tags: int) -> None:
-        at = self.ratio.setdefault(self.getpos()[0], [0, 0])
-        at[0] += text
-        at[1] += tags
+    def _note(self, tag: str) -> None:
+        self.ratio.setdefault(self.getpos()[0], [0, 0])[1] += tag not in ROWS
 
     def _line(self) -> None:
         if self.out and not self.out[-1].endswith("\n"):
             self.out.append("\n")
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self._note(0, 1)
+        self._note(tag)
         if tag not in ELEMENTS:
             self.out.append(self.get_starttag_text() or "")
             return
+        self.kinds.add(HTML)
         if tag in SILENT:
             self.silent += 1
         if tag in ("td", "th"):
@@ -142,10 +143,12 @@ class _Events(HTMLParser):
             self.silent -= 1
 
     def handle_endtag(self, tag: str) -> None:
-        self._note(0, 1)
+        self._note(tag)
         if tag not in ELEMENTS:
             self.out.append(f"</{tag}>")
-        elif tag in SILENT:
+            return
+        self.kinds.add(HTML)
+        if tag in SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag in BLOCKS:
             if tag in ("ul", "ol") and self.lists:
@@ -163,20 +166,30 @@ class _Events(HTMLParser):
                 self.ratio.setdefault(at + k, [0, 0])[0] += len(line.strip())
             self.out.append(data)
 
+    def handle_comment(self, data: str) -> None:
+        self.kinds.add(HTML)
+
+    def handle_decl(self, decl: str) -> None:
+        self.kinds.add(HTML)
+
     def handle_entityref(self, name: str) -> None:
-        self.handle_data(html5.get(name + ";") or html5.get(name) or f"&{name}")
+        own = {LESS: "<", AMPERSAND: "&"}.get(f"&{name};")
+        if own is None:
+            own = unescape(f"&{name};")
+            if own != f"&{name};":
+                self.kinds.add(HTML)
+        self.handle_data(own)
 
     def handle_charref(self, name: str) -> None:
+        self.kinds.add(HTML)
         self.handle_data(unescape(f"&#{name};"))
 
 
 def content_lines(ratio: dict[int, list[int]], n: int) -> list[bool]:
-    """Which of n source lines belong to content: text-to-tag ratios, smoothed by a Gaussian, split in two clusters.
-
-    Under REGION_LINES lines all do, as the ratios of so few say nothing.
+    """Which of n source lines belong to content: text-to-tag ratios, smoothed by a Gaussian, split in two clusters; all
+    if the ratios are alike. Lines without text belong to it, as their tags may open what follows, and so do lines without tags that
+    count.
     """
-    if n < REGION_LINES:
-        return [True] * n
     raw = [ratio.get(i + 1, (0, 0)) for i in range(n)]
     plain = [t / max(1, g) for t, g in raw]
     reach = max(1, round(3 * SIGMA))
@@ -195,7 +208,7 @@ def content_lines(ratio: dict[int, list[int]], n: int) -> list[bool]:
         if abs(new - cut) < 1e-9:
             break
         cut = new
-    return [x > cut for x in smooth]
+    return [x > cut or not t or not g for x, (t, g) in zip(smooth, raw, strict=True)]
 
 
 def _signs(number: int) -> str:
@@ -217,11 +230,17 @@ def _number(signs: str) -> int:
 
 
 class _Holder:
-    """Set-aside pieces, each behind a private sign."""
+    """Set-aside pieces, each behind a private sign; private signs of the text itself are set aside first."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.kept, self.kinds = text, [], set()
-        self.restore = _HELD.search(text)
+        self.kept: list[str] = []
+        self.kinds: set[str] = set()
+        self.text = _OWN_SIGNS.sub(lambda m: self._put(m[0]), text)
+        self.own = len(self.kept)
+
+    def _put(self, shown: str) -> str:
+        self.kept.append(shown)
+        return _signs(len(self.kept) - 1)
 
     def hold(self, pattern: re.Pattern, kind: str, render) -> None:  # noqa: ANN001
         def put(m: re.Match) -> str:
@@ -229,17 +248,17 @@ class _Holder:
             if shown is None:
                 return m[0]
             self.kinds.add(kind)
-            self.kept.append(shown)
-            return _signs(len(self.kept) - 1)
+            return self._put(shown)
 
         self.text = pattern.sub(put, self.text)
 
+    def release(self) -> None:
+        """Put pieces into the later pieces that hold their signs."""
+        for k in range(self.own, len(self.kept)):
+            self.kept[k] = self.released(self.kept[k])
+
     def released(self, text: str) -> str:
-        for _ in range(4):
-            if not _PIECE_SIGNS.search(text):
-                break
-            text = _PIECE_SIGNS.sub(lambda m: self.kept[k] if (k := _number(m[0])) < len(self.kept) else m[0], text)
-        return text
+        return _PIECE_SIGNS.sub(lambda m: self.kept[k] if (k := _number(m[0])) < len(self.kept) else m[0], text)
 
 
 def _code(body: str) -> str:
@@ -257,8 +276,6 @@ def convert(value: str) -> tuple[str, list[str], str]:
     Broken markup is read as far as it goes; a text without markup comes back as it is, without surrounding white space.
     """
     text = value.replace("\r\n", "\n")
-    if _HELD.search(text):  # signs we need ourselves: such a text is read without them
-        text = _HELD.sub("\ufffd", text)
     held = _Holder(text)
     if "<" in text:
         held.hold(_WIKI_CODE, WIKI, lambda m: _code(m[2]))
@@ -273,40 +290,43 @@ def convert(value: str) -> tuple[str, list[str], str]:
         held.hold(_DISPLAY, LATEX, lambda m: f"${next(g for g in (m[1], m[2], m[3], m[5], '') if g is not None).strip()}$")
     if "$" in held.text:
         held.hold(_INLINE, LATEX, lambda m: m[0])
-    text, kinds = held.text, held.kinds
-    main_mask: list[bool] | None = None
-    source_lines = 0
-    if ("<" in text and any(_known_tag(m) for m in _TAG.finditer(text))) or ("&" in text and any(unescape(m[0]) != m[0] for m in _REFERENCE.finditer(text))):
-        kinds.add(HTML)
-        # Angle brackets that open no known element are text for the parser.
+    held.release()
+    read, mask = _read(held.text, held.kinds)
+    text = main = _tidy(held.released(read))
+    if not all(mask):
+        kept = "\n".join(line for line, use in zip(held.text.split("\n"), mask, strict=False) if use)
+        main = _tidy(held.released(_read(kept, set())[0]))
+    return text, sorted(held.kinds), main
+
+
+def _read(text: str, kinds: set[str]) -> tuple[str, list[bool]]:
+    """Text of a source without code and formulas, and which of its lines are content; the kinds met go into `kinds`."""
+    source, mask = text, [True]
+    if "<" in text or "&" in text:
+        # Angle brackets that open no known element are text for the parser; a tag that is cut off is markup without text.
         safe, at = [], 0
         for m in _TAG.finditer(text):
             if _known_tag(m):
-                safe += [text[at : m.start()].replace("<", "&lt;"), m[0] if m[0].endswith(">") else ""]
+                safe.append(text[at : m.start()].replace("<", LESS))
+                if m[0].endswith(">"):
+                    safe.append(m[0])
+                else:
+                    kinds.add(HTML)
                 at = m.end()
-        source = "".join(safe) + text[at:].replace("<", "&lt;")
+        safe.append(text[at:].replace("<", LESS))
         events = _Events()
-        events.feed(re.sub(r"&(?![A-Za-z][A-Za-z0-9]*;|#)", "&amp;", source))
+        events.feed(re.sub(r"&(?![A-Za-z][A-Za-z0-9]*;|#)", AMPERSAND, "".join(safe)))
         events.close()
-        source_lines = source.count("\n") + 1
-        main_mask = content_lines(events.ratio, source_lines)
-        text = "".join(events.out)
+        kinds |= events.kinds
+        if HTML in kinds:
+            mask = content_lines(events.ratio, source.count("\n") + 1)
+            text = "".join(events.out)
     text = _wiki(text, kinds)
     # Headings and lists are looked for in the source, as other readers write theirs in the same notation.
-    bullets = {mark for _, mark in _M_LIST.findall(held.text)} - ({"*"} if WIKI in kinds else set())
-    if ("#" in held.text and _M_HEAD.search(held.text)) or (bullets and len(_M_LIST.findall(held.text)) > 1):
+    bullets = {mark for _, mark in _M_LIST.findall(source)} - ({"*"} if WIKI in kinds else set())
+    if ("#" in source and _M_HEAD.search(source)) or (bullets and len(_M_LIST.findall(source)) > 1):
         kinds.add(MARKDOWN)
-    text = _latex(text, kinds)
-    text = _markdown(text, kinds)
-    text = _tidy(held.released(text))
-    main = text
-    if main_mask is not None and not all(main_mask):
-        keep = "\n".join(line for line, use in zip(held.text.split("\n"), main_mask, strict=False) if use)
-        inner = _Events()
-        inner.feed(keep)
-        inner.close()
-        main = _tidy(held.released("".join(inner.out)))
-    return text, sorted(kinds), main
+    return _markdown(_latex(text, kinds), kinds), mask
 
 
 def _tidy(text: str) -> str:
@@ -370,10 +390,9 @@ def _latex(text: str, kinds: set[str]) -> str:
     text = re.sub(r"\\item\b(?:\[([^\]]*)\])?[ \t]*", lambda m: "\n- " + (m[1] + " " if m[1] else ""), text)
     text = _L_UNIT.sub(lambda m: f"{m[1]} {m[2]}", text)
     text = _L_CITE.sub(lambda m: f"[{m[1]}]", text)
-    for _ in range(6):
+    n = 1
+    while n:
         text, n = _L_ARGUMENT.subn(lambda m: m[2], text)
-        if not n:
-            break
     if table:
         text = re.sub(r"[ \t]*(?<!\\)&[ \t]*", " | ", text)
     text = re.sub(r"[ \t]*\\\\(?:\[[^\]]*\])?[ \t]*\n?", "\n", text)

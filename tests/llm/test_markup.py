@@ -70,3 +70,28 @@ def test_frame(spark):
     df = spark.createDataFrame(rows, "block_id bigint, table_body string, html string, content string, markup string")
     assert sorted(map(tuple, M.markup_kinds(df).collect())) == [(1, "table_body", "html"), (1, "table_body", "html"), (2, "content", "latex")]
     assert M.clean_texts(df).count() == 4 and M.clean_texts(df.limit(0)).count() == 0
+
+
+def test_any_number_of_pieces_and_private_signs():
+    text = "\n".join(f"` $\\alpha_{k}+\\beta$ `" for k in range(5_000))
+    assert M.convert(text)[0].count("\\alpha_") == 5_000 and M.convert(text)[1] == ["markdown"]
+    own = "a\ue200b \ue100\uefff`x\ue101y` $\ueffd$ <b>z\ue100</b>"
+    assert M.convert(own)[0] == "a\ue200b \ue100\uefff`x\ue101y` $\ueffd$ z\ue100"
+
+
+def test_deep_nesting():
+    text = "\\emph{" * 40 + "core" + "}" * 40
+    assert M.convert(text)[0] == "core"
+    code = "`a`"
+    for k in range(8):
+        code = f"<tt>{code}</tt>" if k % 2 else f"<pre>{code}</pre>"
+    assert not any("\ue100" <= c <= "\ueffd" for c in M.convert(code)[0])
+
+
+def test_short_tables_are_content_whole():
+    table = "<table>\n<tr><td>a</td><td>b</td></tr>\n<tr><td>longer text</td><td><b>c</b> d</td></tr>\n</table>"
+    text, _, main = M.convert(table)
+    assert main == text == "a | b\nlonger text | c d"
+    page = '<div><a href="1">home</a><a href="2">up</a><a href="3">all</a></div>\n<p>A long line of running text that says something.</p>\n<p>Another long line of running text.</p>'
+    text, _, main = M.convert(page)
+    assert "home" in text and "home" not in main and "Another" in main
