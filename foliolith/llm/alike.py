@@ -9,10 +9,11 @@ from foliolith.llm.fold import looks_column, one_form_column
 
 
 def _readings(readings: DataFrame, group: list[str], key: str, text: str) -> tuple[DataFrame, list[str]]:
-    """Readings with a text and a whole group, with their form, and the group's columns."""
+    """Readings with a text and a whole group, with their form and looks, and the columns of group, form and looks."""
     names = [f"g{i}" for i in range(len(group))]
     rows = readings.select(*(F.col(g).cast("string").alias(n) for g, n in zip(group, names, strict=True)), F.col(key).alias("id"), F.col(text).alias("raw"))
-    return rows.dropna(subset=[*names, "raw"]).withColumn("form", one_form_column(F.col("raw"))), names
+    rows = rows.dropna(subset=[*names, "raw"]).withColumns({"form": one_form_column(F.col("raw")), "looks": looks_column(F.col("raw"))})
+    return rows, [*names, "form", "looks"]
 
 
 def _mixed(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -32,9 +33,8 @@ def alike_pairs(readings: DataFrame, field: str, group: list[str], key: str, tex
     worked out once per distinct text of an Arrow batch. Groups with one string drop out before the self-join, so a group
     holding a third of all rows costs only its true pairs; `alike_classes` gives the same links one row per reading.
     """
-    rows, names = _readings(readings, group, key, text)
-    by = [*names, "form", "looks"]
-    mixed = _mixed(_mixed(rows, [*names, "form"]).withColumn("looks", looks_column(F.col("raw"))), by)
+    rows, by = _readings(readings, group, key, text)
+    mixed = _mixed(rows, by)
     a, b = (mixed.select(*by, F.col("id").alias(f"id_{x}"), F.col("raw").alias(f"raw_{x}")) for x in "ab")
     pairs = a.join(b, by).where("raw_a <> raw_b and id_a < id_b")
     return pairs.select(F.lit(field).alias("field"), "id_a", "id_b")
@@ -44,9 +44,7 @@ def alike_classes(readings: DataFrame, field: str, group: list[str], key: str, t
     """Rows (field, id, class_id, links): one per reading with a text and a whole group. Readings of a class look the same;
     class_id is its least id, links the number of its readings with another string. Linear in the rows for any group size.
     """
-    rows, names = _readings(readings, group, key, text)
-    by = [*names, "form", "looks"]
-    rows = rows.withColumn("looks", looks_column(F.col("raw")))
+    rows, by = _readings(readings, group, key, text)
     strings = rows.groupBy(*by, "raw").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     classes = strings.groupBy(*by).agg(F.sum("n").alias("all"), F.min("least").alias("class_id"))
     found = rows.join(strings.select(*by, "raw", "n"), [*by, "raw"]).join(classes, by)
