@@ -31,7 +31,7 @@ def unambiguous_match(left: DataFrame, right: DataFrame, key: str, raw_left: str
     )
 
 
-def prefixes(core: Column, longest: int = 12) -> Column:
+def prefixes(core: Column) -> Column:
     """Proper dotted prefixes of an identifier, longest first."""
     parts = F.split(core, "\\.")
     return F.transform(F.reverse(F.sequence(F.lit(1), F.size(parts) - 1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
@@ -66,30 +66,32 @@ def upsert(base: DataFrame, delta: DataFrame, key: str, columns: Sequence[str])
     return b.join(d, key, "full").select(key, *(F.coalesce(f"_d_{c}", f"_b_{c}").alias(c) for c in columns), F.coalesce(F.col("_d") == 1, F.lit(False)).alias("changed"))
 
 
-def roots(pointers: DataFrame, node: str, parent: str, rounds: int = 40) -> DataFrame:
+def roots(pointers: DataFrame, node: str, parent: str) -> DataFrame:
     """Rows (node, root, hops): the end of each chain of pointers; null root where it runs in a circle.
 
-    Pointer doubling: each round joins the table with itself and halves what is left of every chain, so chains of any
-    length end in a logarithmic number of rounds; lineage is cut by reliable checkpoints. A node without a pointer, or one
-    that points to itself or to nothing known, is a root.
+    Pointer doubling: each round joins the moving nodes with the table before, so their reach doubles and chains of any
+    length end in a logarithmic number of rounds. Nodes that have arrived are set aside and not written again; lineage is
+    cut by reliable checkpoints. A node without a pointer, or one that points to itself or to nothing known, is a root.
+    If in a round no node arrives, none can: of a chain that ends, the node just beyond the reach would have. What still
+    moves then is in a circle, or leads to one.
     """
     rows = pointers.groupBy(F.col(node).alias("node")).agg(F.max(parent).alias("up"))
     known = rows.select(F.col("node").alias("k"))
     rows = rows.join(known, F.col("up") == F.col("k"), "left").select("node", F.when(F.col("k") == F.col("node"), None).otherwise(F.col("k")).alias("up"))
     state = cut(rows.select("node", F.coalesce("up", "node").alias("at"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("hops"), F.col("up").isNull().alias("done")))
-    for _ in range(rounds):
-        target = state.select(F.col("node").alias("n2"), F.col("at").alias("at2"), F.col("hops").alias("h2"), F.col("done").alias("d2"))
-        stepped = state.where("not done").join(target, F.col("at") == F.col("n2")).select("node", F.col("at2").alias("at"), (F.col("hops") + F.col("h2")).alias("hops"), F.col("d2").alias("done"))
-        moving = state.where("not done").count()
-        if not moving:
-            break
-        state = cut(state.where("done").unionByName(stepped))
-        if state.where("not done").count() == moving:
-            # No chain ended although the reach doubled: what moves is in, or leads to, a circle once it exceeds all nodes.
-            reach, n = state.where("not done").agg(F.min("hops")).first()[0], state.count()
-            if reach > n:
-                break
-    return state.select(F.col("node").alias(node), F.when(F.col("done"), F.col("at")).alias("root"), F.when(F.col("done"), F.col("hops")).alias("hops"))
+    arrived = state.where("done")
+    moving, target = state.where("not done"), state
+    before, left = None, moving.count()
+    while left and left != before:
+        there = target.select(F.col("node").alias("n2"), F.col("at").alias("at2"), F.col("hops").alias("h2"), F.col("done").alias("d2"))
+        stepped = cut(moving.join(there, F.col("at") == F.col("n2")).select("node", F.col("at2").alias("at"), (F.col("hops") + F.col("h2")).alias("hops"), F.col("d2").alias("done")))
+        arrived = arrived.unionByName(stepped.where("done"))
+        moving = stepped.where("not done")
+        # Moving nodes point to moving ones of the same reach, or to arrived ones.
+        target = moving.unionByName(arrived)
+        before, left = left, moving.count()
+    circles = moving.select("node", F.lit(None).cast(rows.schema["node"].dataType).alias("at"), F.lit(None).cast("bigint").alias("hops"))
+    return arrived.select("node", "at", "hops").unionByName(circles).select(F.col("node").alias(node), F.col("at").alias("root"), "hops")
 
 
 def bucket_range(low: Column, high: Column, size: float) -> Column:
@@ -137,7 +139,7 @@ def mutual_centers(left: DataFrame, right: DataFrame, group: str, left_id: str,
     return pairs.select(group, left_id, right_id)
 
 
-def connected(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (node, component): the least node that each node is linked with, over any number of links.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) until nothing changes: a logarithmic number of
@@ -147,7 +149,7 @@ def connected(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     nodes = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
     links = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -96,7 +96,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     "tree_paths",
     f"""
 WITH RECURSIVE n AS ({_NODES}), k AS (SELECT *, row_number() OVER (PARTITION BY parent, lower(name) ORDER BY node) AS o FROM n),
-s AS (SELECT node, parent, CASE WHEN o > 1 THEN name || '__' || CASE WHEN o < 100 THEN lpad(CAST(o AS VARCHAR), 2, '0') ELSE substr(CAST(o AS VARCHAR), 1, 2) END ELSE name END AS seg FROM k),
+s AS (SELECT node, parent, CASE WHEN o > 1 THEN name || '__' || printf('%02d', o) ELSE name END AS seg FROM k),
 p AS (SELECT node, 1 AS depth, seg AS path FROM s WHERE parent IS NULL UNION ALL SELECT s.node, p.depth + 1, p.path || '/' || s.seg FROM s JOIN p ON s.parent = p.node)
 SELECT CAST(node AS BIGINT) AS node, CAST(depth AS INT) AS depth, path FROM p
 """,

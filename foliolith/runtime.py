@@ -22,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType | st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; set to a temporary one only where none is set (local tests)."""
+    """The shared checkpoint folder of the session. Where none is set, a session with a local master, whose only machine is
+    this one, gets a temporary one; on a cluster it is an error, as executors can't reach a folder of the driver.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="foliolith-checkpoint-")
         atexit.register(shutil.rmtree, named, True)
