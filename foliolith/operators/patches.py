@@ -66,73 +66,108 @@ class EditError(ValueError):
     """An operation that does not fit the state before it."""
 
 
-def _rows_of(state: dict) -> list[list[str]]:
-    return state["rows"]
+def _place(target: dict, name: str, most: int) -> int:
+    """A 1-based place named by an operation, as an index."""
+    value = target.get(name)
+    if type(value) is not int or not 0 < value <= most:
+        raise EditError(f"{name} is outside the grid")
+    return value - 1
 
 
-def _bound(value: object, most: int, what: str) -> int:
-    if not isinstance(value, int) or isinstance(value, bool) or not 1 <= value <= most:
-        raise EditError(f"{what} is outside the grid")
-    return value
+def _square(rows: list[list[str]]) -> int:
+    """Make all rows as wide as the widest; the width."""
+    width = max(map(len, rows), default=0)
+    for row in rows:
+        row.extend([""] * (width - len(row)))
+    return width
+
+
+def _cell(state: dict, target: dict, after: object):  # noqa: ANN202
+    row = state["rows"][_place(target, "row", len(state["rows"]))]
+    at = _place(target, "column", len(row))
+    return row[at], lambda: row.__setitem__(at, after)
+
+
+def _new_row(state: dict, target: dict, after: object):  # noqa: ANN202
+    at = _place(target, "row", len(state["rows"]) + 1)
+    return None, lambda: state["rows"].insert(at, list(after))
+
+
+def _old_row(state: dict, target: dict, after: object):  # noqa: ANN202
+    at = _place(target, "row", len(state["rows"]))
+    return state["rows"][at], lambda: state["rows"].pop(at)
+
+
+def _new_column(state: dict, target: dict, after: object):  # noqa: ANN202
+    rows = state["rows"]
+    at = _place(target, "column", _square(rows) + 1)
+    if len(after) != len(rows):
+        raise EditError("the column has another length than the grid")
+    return None, lambda: [row.insert(at, value) for row, value in zip(rows, after, strict=True)]
+
+
+def _old_column(state: dict, target: dict, after: object):  # noqa: ANN202
+    at = _place(target, "column", _square(state["rows"]))
+    return [row[at] for row in state["rows"]], lambda: [row.pop(at) for row in state["rows"]]
+
+
+def _merge(there: bool):  # noqa: ANN202
+    def handler(state: dict, target: dict, after: object):  # noqa: ANN202
+        now = set(state["merges"])
+        named = {target["range"]}
+        return named <= now, lambda: state.update(merges=sorted(now | named if there else now - named))
+
+    return handler
+
+
+def _metadata(state: dict, target: dict, after: object):  # noqa: ANN202
+    name = target.get("field")
+    if name not in METADATA:
+        raise EditError(f"{name} can't be edited")
+    return state["metadata"].get(name), lambda: state["metadata"].update({name: after})
+
+
+def _grid(state: dict, target: dict, after: object):  # noqa: ANN202
+    rows = state["rows"]
+    shape = {"rows": len(rows), "columns": max(map(len, rows), default=0)}
+    grid = after if isinstance(after, dict) else {"rows": after}
+    return (rows, shape), lambda: state.update(rows=[list(r) for r in grid["rows"]], merges=sorted(grid.get("merges") or ()))
+
+
+#: Metadata that may be edited. Fixed values.
+METADATA = ("caption", "footnotes", "node_id_raw")
+#: Of each operation how to find what it must know before, and how to carry it out.
+HANDLERS = {
+    "set_cell": _cell,
+    "insert_row": _new_row,
+    "delete_row": _old_row,
+    "insert_column": _new_column,
+    "delete_column": _old_column,
+    "merge_cells": _merge(True),
+    "unmerge_cells": _merge(False),
+    "set_metadata": _metadata,
+    "replace_grid": _grid,
+}
 
 
 def apply_operation(state: dict, op: dict) -> None:
     """Apply one operation to {rows, merges, metadata, notes} in place, or raise EditError.
 
-    Every operation states what it expects before: the cell's text, the whole row or column, null for insertions, whether
-    a merge is there, the metadata's value, the grid's shape or rows.
+    Every operation but a note states what it expects before: the cell's text, the whole row or column, null for
+    insertions, whether a merge is there, the metadata's value, the grid's shape or rows. A merge that is there already
+    stays, one that isn't there can't be undone twice. A new grid brings its own merges.
     """
-    rows, target, before, after = _rows_of(state), op.get("target") or {}, op.get("before"), op.get("after")
-    kind = op.get("op")
-    width = max((len(r) for r in rows), default=0)
-    if kind == "set_cell":
-        r, c = _bound(target.get("row"), len(rows), "row"), _bound(target.get("column"), width, "column")
-        rows[r - 1] += [""] * (width - len(rows[r - 1]))
-        if rows[r - 1][c - 1] != before:
-            raise EditError("the cell differs")
-        rows[r - 1][c - 1] = after
-    elif kind == "insert_row":
-        at = _bound(target.get("row"), len(rows) + 1, "row")
-        if before is not None:
-            raise EditError("an insertion has nothing before")
-        rows.insert(at - 1, list(after))
-    elif kind == "delete_row":
-        at = _bound(target.get("row"), len(rows), "row")
-        if rows[at - 1] != before:
-            raise EditError("the row differs")
-        del rows[at - 1]
-    elif kind in ("insert_column", "delete_column"):
-        at = _bound(target.get("column"), width + (kind == "insert_column"), "column")
-        for row in rows:
-            row += [""] * (width - len(row))
-        if kind == "insert_column":
-            if before is not None or len(after) != len(rows):
-                raise EditError("the column has another length")
-            for row, value in zip(rows, after, strict=True):
-                row.insert(at - 1, value)
-        else:
-            if [row[at - 1] for row in rows] != before:
-                raise EditError("the column differs")
-            for row in rows:
-                del row[at - 1]
-    elif kind in ("merge_cells", "unmerge_cells"):
-        there = target.get("range") in state["merges"]
-        if there is not bool(before) or there is (kind == "merge_cells"):
-            raise EditError("the merge differs")
-        state["merges"] = sorted({*state["merges"], target["range"]} if kind == "merge_cells" else {*state["merges"]} - {target["range"]})
-    elif kind == "set_metadata":
-        name = target.get("field")
-        if name not in ("caption", "footnotes", "node_id_raw") or state["metadata"].get(name) != before:
-            raise EditError("the metadata differs")
-        state["metadata"][name] = after
-    elif kind == "add_note":
-        state["notes"].append(after)
-    elif kind == "replace_grid":
-        if before not in (rows, {"rows": len(rows), "columns": width}):
-            raise EditError("the grid differs")
-        state["rows"] = [list(r) for r in after]
-    else:
-        raise EditError(f"unknown operation {kind}")
+    if op.get("op") == "add_note":
+        state["notes"].append(op.get("after"))
+        return
+    handler = HANDLERS.get(op.get("op"))
+    if handler is None:
+        raise EditError(f"unknown operation {op.get('op')}")
+    known, carry_out = handler(state, op.get("target") or {}, op.get("after"))
+    stated = op.get("before")
+    if stated not in known if isinstance(known, tuple) else stated != known:
+        raise EditError("what is there differs from what the operation expects")
+    carry_out()
 
 
 def apply_patches(candidates: DataFrame, patches: DataFrame) -> DataFrame:

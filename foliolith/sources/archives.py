@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 
 #: Limits of an archive. Fixed values.
 MOST_BYTES, MOST_FILES = 100_000_000, 50
+#: Version that info.json states. Fixed value.
+VERSION = [4, 0]
 SCHEMA = "path string, name string, info string, project string, image binary, error string"
 
 
@@ -29,43 +31,50 @@ def read_archive(data: bytes) -> dict:
     Links, names that are absolute, lead upwards or hold backslashes, repeated names, more than MOST_FILES members, members
     or totals beyond MOST_BYTES, and references outside the archive's folder are refused.
     """
-    files: dict[str, bytes] = {}
-    total = 0
     try:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as tar:
-            for member in tar:
-                name = member.name
-                path = PurePosixPath(name)
-                if member.isdir():
-                    continue
-                if not member.isfile() or path.is_absolute() or ".." in path.parts or "\\" in name:
-                    raise ArchiveError(f"member {name!r} is not a plain file inside the archive")
-                total += member.size
-                if name in files or len(files) >= MOST_FILES or total > MOST_BYTES:
-                    raise ArchiveError("repeated names, too many files or too many bytes")
-                files[name] = tar.extractfile(member).read()
+        tar = tarfile.open(fileobj=io.BytesIO(data), mode="r:")
+        members = [m for m in tar.getmembers() if not m.isdir()]
     except tarfile.TarError as wrong:
         raise ArchiveError(f"not an archive: {wrong}") from None
-    infos = [n for n in files if PurePosixPath(n).name == "info.json"]
-    if len(infos) != 1:
-        raise ArchiveError("an archive has exactly one info.json")
-    folder = PurePosixPath(infos[0]).parent
+    paths = {m.name: PurePosixPath(m.name) for m in members}
+    infos = [n for n, p in paths.items() if p.name == "info.json"]
+    _refuse(
+        {
+            "a member that is no plain file": any(not m.isfile() for m in members),
+            "a name that leads out of the archive": any(p.is_absolute() or {"..", "\\"} & {*p.parts, *n} for n, p in paths.items()),
+            "a name that repeats": len(paths) < len(members),
+            "too many members": len(members) > MOST_FILES,
+            "too many bytes": sum(m.size for m in members) > MOST_BYTES,
+            "not exactly one info.json": len(infos) != 1,
+        }
+    )
+    content = {m.name: tar.extractfile(m).read() for m in members}
+    folder = paths[infos[0]].parent
     try:
-        info = json.loads(files[infos[0]])
-        version, project_name, images = info["version"], info["json"], info["images"]
+        info = json.loads(content[infos[0]])
+        named = [info["json"], *info["images"]]
     except (ValueError, KeyError, TypeError) as wrong:
         raise ArchiveError(f"info.json: {wrong}") from None
-    if version != [4, 0] or not isinstance(project_name, str) or not isinstance(images, list) or len(images) != 1:
-        raise ArchiveError("another version, or not one project with one image")
-    for reference in (project_name, images[0]):
-        if PurePosixPath(reference).name != reference or str(folder / reference) not in files:
-            raise ArchiveError(f"{reference!r} is not beside info.json")
-    return {"info": files[infos[0]].decode(), "project": files[str(folder / project_name)].decode(), "image": files[str(folder / images[0])]}
+    _refuse(
+        {
+            "another version": info.get("version") != VERSION,
+            "not one project with one image": len(named) != 2 or not all(isinstance(n, str) for n in named),
+            "a reference to what isn't beside info.json": any(not isinstance(n, str) or "/" in n or str(folder / n) not in content for n in named),
+        }
+    )
+    project, image = (content[str(folder / n)] for n in named)
+    return {"info": content[infos[0]].decode(), "project": project.decode(), "image": image}
+
+
+def _refuse(faults: dict[str, bool]) -> None:
+    """Raise what is wrong, all of it."""
+    if wrong := [name for name, there in faults.items() if there]:
+        raise ArchiveError("; ".join(wrong))
 
 
 def write_archive(name: str, project: str, image: bytes) -> bytes:
     """Bytes of a project archive; equal input gives equal bytes."""
-    info = json.dumps({"version": [4, 0], "json": "wpd.json", "images": ["image.png"]}).encode()
+    info = json.dumps({"version": VERSION, "json": "wpd.json", "images": ["image.png"]}).encode()
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
         for member, data in (("info.json", info), ("wpd.json", project.encode()), ("image.png", image)):

@@ -110,11 +110,30 @@ def test_operations():
     ):
         P.apply_operation(state, op)
     assert state == {"rows": [["x", "B"], ["y", "f"]], "merges": ["A1:B1"], "metadata": {"caption": "C"}, "notes": ["n"]}
-    for wrong in ({"op": "set_cell", "target": {"row": 9, "column": 1}}, {"op": "merge_cells", "target": {"range": "A1:B1"}, "before": True}, {"op": "huh"}, {"op": "set_metadata", "target": {"field": "id"}}):
+    for wrong in ({"op": "set_cell", "target": {"row": 9, "column": 1}}, {"op": "merge_cells", "target": {"range": "A1:B1"}, "before": False}, {"op": "unmerge_cells", "target": {"range": "A2:B2"}, "before": True}, {"op": "huh"}, {"op": "set_metadata", "target": {"field": "id"}}):
         with pytest.raises(P.EditError):
             P.apply_operation(state, wrong)
 
 
+def test_merges_that_are_there_stay():
+    """A stated merge that is there already is no change; cells outside their row are refused; a new grid has its own merges."""
+    state = {"rows": [["a", "b"], ["c"]], "merges": ["A1:B1"], "metadata": {}, "notes": []}
+    P.apply_operation(state, {"op": "merge_cells", "target": {"range": "A1:B1"}, "before": True})
+    P.apply_operation(state, {"op": "unmerge_cells", "target": {"range": "A2:B2"}, "before": False})
+    assert state["merges"] == ["A1:B1"] and state["rows"] == [["a", "b"], ["c"]]
+    with pytest.raises(P.EditError):
+        P.apply_operation(state, {"op": "set_cell", "target": {"row": 2, "column": 2}, "before": "", "after": "x"})
+    P.apply_operation(state, {"op": "replace_grid", "before": {"rows": 2, "columns": 2}, "after": {"rows": [["z"]], "merges": ["A1:A1"]}})
+    assert state["rows"] == [["z"]] and state["merges"] == ["A1:A1"]
+
+
+def test_huge_spans_cost_nothing():
+    from foliolith.operators.tables import html_grid
+
+    cells = html_grid("<table><tr><td rowspan=999999 colspan=999999>a<td>b</tr><tr><td>c</table>")
+    assert [c[:5] for c in cells] == [(1, 1, 999999, 999999, "a"), (1, 1000000, 1, 1, "b"), (2, 1000000, 1, 1, "c")]
+
+
 def test_failed_patch_undoes_all(spark):
     state = json.dumps({"rows": [["a"]]})
     ops = [json.dumps({"op": "set_cell", "target": {"row": 1, "column": 1}, "before": b, "after": "z"}) for b in ("a", "a")]
