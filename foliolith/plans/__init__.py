@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register core queries.
-MODULES = ("nested", "compare", "scalars", "matching", "outline", "parse", "assemble", "edits", "figures", "io")
+MODULES = ("nested", "compare", "scalars", "matching", "outline", "parse", "assemble", "edits", "figures", "io", "reviews")
 
 
 def load_core() -> tuple[dict, dict]:
