@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliolith.runtime import table
 
@@ -67,6 +69,22 @@ def p5_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certificates(cut(review_batches(table(spark, sf_dir, "plan_luna_batches"))))
 
 
+def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per run what its batches hold in all, and how many of them break a cap."""
+    from foliolith.llm.packing import REVIEW_CAPACITY, REVIEW_MOST, review_batches
+
+    dims = ("weight", "cell_count", "pages")
+    batches = review_batches(table(spark, sf_dir, "plan_luna_batches")).groupBy("run_id", "batch").agg(F.count("*").alias("n"), *(F.sum(d).alias(d) for d in dims))
+    broken = reduce(lambda a, b: a | b, (F.col(d) > c for d, c in zip((*dims, "n"), (*REVIEW_CAPACITY, REVIEW_MOST), strict=True)))
+    return batches.groupBy("run_id").agg(F.sum("n").alias("pieces"), *(F.sum(d).alias(d) for d in dims), F.count_if(broken).alias("broken"))
+
+
+P5_COVERAGE_SQL = """
+WITH ranked AS (SELECT *, coalesce(len(source_physical_pages), 0) AS pages, row_number() OVER (PARTITION BY coalesce(candidate_id, chr(1) || queue_id) ORDER BY base_revision DESC NULLS LAST, queued_at DESC NULLS LAST, queue_id DESC) AS rn FROM plan_luna_batches)
+SELECT run_id, CAST(sum(greatest(1, ceil(coalesce(weight, 0) / 9.0), ceil(coalesce(cell_count, 0) / 500.0), ceil(pages / 20.0))) AS BIGINT) AS pieces, CAST(sum(coalesce(weight, 0)) AS BIGINT) AS weight,
+CAST(sum(coalesce(cell_count, 0)) AS BIGINT) AS cell_count, CAST(sum(pages) AS BIGINT) AS pages, CAST(0 AS BIGINT) AS broken FROM ranked WHERE rn = 1 GROUP BY 1
+"""
+
 P5_FOUND_SQL = """
 WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY base_revision DESC NULLS LAST, queued_at DESC NULLS LAST, queue_id DESC) AS rn
 FROM plan_luna_batches WHERE candidate_id IS NOT NULL)
@@ -116,10 +134,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_batches": p5_batches,
     "p5_certificates": p5_certificates,
+    "p5_coverage": p5_coverage,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,
 }
-ORACLE: dict[str, str] = {"p5_found": P5_FOUND_SQL}
+ORACLE: dict[str, str] = {"p5_found": P5_FOUND_SQL, "p5_coverage": P5_COVERAGE_SQL}
