@@ -94,3 +94,30 @@ def test_isotonic():
 
     x, y = X._isotonic(np.array([0.0, 0.0, 0.5, 0.7, 0.9]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
     assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all()
+
+
+def test_copies_give_the_same_sample(spark):
+    """Many times the labels keep the balance of toxic and benign votes, and a copied text bears nothing out."""
+    data = corpus(150, 4)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)] + [(9000, None), (9001, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(bad)) for i, (_, bad) in enumerate(data)] + [(9000, 1), (9001, 0), (9002, 1), (0, None)], "doc_id bigint, toxic int")
+    many = [spark.range(40).selectExpr("id * 10000 copy").crossJoin(x).withColumn("doc_id", X.F.expr("doc_id + copy")).drop("copy") for x in (docs, labels)]
+    few, all_ = (X.labelled_sample(d, y, (20, 40)) for d, y in ((docs, labels), many))
+    assert len(few.texts) == 60 and sorted(zip(few.texts, few.label)) == sorted(zip(all_.texts, all_.label))
+    assert few.benign_weight == all_.benign_weight == pytest.approx((121 / 40) / (30 / 20))
+
+
+def test_many_labels_keep_their_balance(spark):
+    """Some labels are wrong: the few benign ones on abuse must not outweigh the toxic ones when there are many labels."""
+    r = random.Random(6)
+    data = corpus(400, 4)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(bad if r.random() > 0.1 else not bad)) for i, (_, bad) in enumerate(data)], "doc_id bigint, toxic int")
+    copies = spark.range(98).selectExpr("id * 1000 copy")
+    docs_many, labels_many = (copies.crossJoin(x).withColumn("doc_id", X.F.expr("doc_id + copy")).drop("copy") for x in (docs, labels))
+    sample = X.labelled_sample(docs_many, labels_many, (60, 120))
+    df, n = X.corpus_frequency(docs, sample.vocabulary)
+    model = X.fit(sample, {w: k * 98 for w, k in df.items()}, n * 98)
+    held = corpus(200, 9)
+    score, _, _ = model.score([t for t, _ in held])
+    assert sum(s >= X.CASE for s, (_, bad) in zip(score, held, strict=True) if bad) >= 38
