@@ -48,6 +48,19 @@ def test_memory_follows_the_postings():
     assert sizes[1] < 1.1 * sizes[0] < 60
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_bits_find_what_a_search_finds(seed, monkeypatch):
+    _, bits, _, terms = case(seed, 40, 400)
+    monkeypatch.setattr(B, "SPARSE", 0)
+    _, search, _, _ = case(seed, 40, 400)
+    assert bits.bits is not None and search.bits is None
+    key = np.arange(40 * bits.n_blocks)
+    (at, there), (at2, there2) = bits._found(key), search._found(key)
+    assert there.tolist() == there2.tolist() and at[there].tolist() == at2[there].tolist()
+    for way in ("pivots", "blocks"):
+        assert [x.tolist() for x in getattr(bits, way)(*terms, 30, 0.8)] == [x.tolist() for x in getattr(search, way)(*terms, 30, 0.8)]
+
+
 def test_repeated_terms_count_once():
     _, index, score, (owner, terms, weight) = case(1)
     twice = np.concatenate([owner, owner]), np.concatenate([terms, terms]), np.concatenate([weight, weight])

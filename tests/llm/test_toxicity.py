@@ -1,6 +1,8 @@
 """Toxicity: held-out accuracy on given labels, disguises, and defined results of odd input."""
 
 import random
+import re
+import time
 
 import pytest
 
@@ -89,6 +91,55 @@ def test_few_words(model, text):
     assert bad[0][0] > clean[0][0] and bad[1][0].startswith("halfwit") and bad[2][0]
 
 
+def read_one_by_one(text):
+    """Words and borders as they are defined, text by text and by one pattern each."""
+    flat = X.reader_text(text).replace("\x02", "")
+    flat = X._LONG.sub(r"\1", X._SPACED.sub(lambda m: re.sub(r"[ .\-*_]", "", m[0]), flat))
+    flat = X._SIGNED.sub(lambda m: m[0].translate(X.LEET), flat)
+    end = r"[.!?:;][\"'»”’)\]]*(?=\s)|[。！？；]|\n\s*\n|\n(?=\s*(?:[-+>#|@/=<⚠👍•]|\*\s|\d+[.)]\s))"
+    out = []
+    for run in re.findall(rf"[㐀-䶿一-鿿]+|[^\W_㐀-䶿一-鿿]+|{end}", flat):
+        han = len(run) > 1 and "㐀" <= run[0] <= "鿿"
+        out += [run[i : i + 2] for i in range(len(run) - 1)] if han else [run if run[0].isalnum() else "\x03"]
+    return flat, out
+
+
+ODD = [*"aaZ9_ \n\n.!?:;\"')»-+>#|@/<*&$\x02\x03\x1c\r\t{}", *"。！漢字好㐀аеѕ​­½²İßﬁ٣𝒜👍•", "\n1. ", "\n* ", "a b c d", "x-y-z-w ", "zzz", "halfwit ", "漢字字", "h4lf", "&#x3;"]
+
+
+def test_reads_many_texts_as_each_alone():
+    r = random.Random(3)
+    texts = ["".join(r.choices(ODD, k=r.randint(0, 40))) for _ in range(4_000)] + [None, "", "x" * 300_000]
+    want = [read_one_by_one(t or "") for t in texts]
+    assert X.folded_texts(texts) == [f for f, _ in want] and [X.pieces(f) for f, _ in want] == [p for _, p in want]
+    ids = X._Ids({w: i for i, w in enumerate(sorted({X.plain_word(p) or "" for _, ps in want for p in ps if p[0].isalnum()}))})
+    passage, found, of, flats = ids.read(texts)
+    every = [(k, ids[p]) for k, (_, ps) in enumerate(want) for p in [*ps, "\x03"]]
+    assert [(k, i) for k, i in every if i > X.SKIP] == list(zip(of[passage].tolist(), found.tolist(), strict=True))
+    assert of.tolist() == [k for k, i in every if i == X.BORDER] and flats == [f for f, _ in want]
+
+
+def test_signs_between_han_are_no_border(model):
+    """Hexagrams lie among the Han signs: they were taken for borders that the text doesn't have, so evidence was missed."""
+    score, passage, _ = model.score(["䷀ Page 3 ䷁ 漢䷀漢 goes on.\n\nGo to hell with your table, halfwit.\n\nPage 9 continues."])
+    assert score[0] >= X.CASE and passage[0].startswith("go to hell")
+
+
+def test_reading_costs_less_than_one_by_one(model):
+    """Reading is most of the work of p8_found, which was over its CPU seconds when each text had arrays of its own."""
+    texts = [line for t, _ in corpus(600, 8) for line in t.split("\n")]
+    spent = []
+    for _ in range(6):
+        begin = time.process_time()
+        model.read(texts)
+        middle = time.process_time()
+        for t in texts:
+            read_one_by_one(t)
+        spent.append((middle - begin, time.process_time() - middle))
+    ours, theirs = map(min, zip(*spent, strict=True))
+    assert ours < theirs
+
+
 def test_isotonic():
     import numpy as np
 
